@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from a table in the shared folder: survives lost executors and ends the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/webloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)  # not one small file for each shuffle partition
     return spark.read.schema(df.schema).parquet(path)
 
 
