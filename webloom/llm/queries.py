@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, token_counts
+from . import exact_dedup, mixing, pieces, simhash, token_counts
 from .common import read_table
 
 
@@ -20,6 +20,11 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -80,6 +85,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_source_mixing": op5_source_mixing,
     "op6_sentencepiece": op6_sentencepiece,
