@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, simhash, token_counts
+from . import exact_dedup, mixing, pieces, simhash, token_counts, webp
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -85,6 +89,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 QUERIES = {
+    "op1_webp_media": op1_webp_media,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_source_mixing": op5_source_mixing,
