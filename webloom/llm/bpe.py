@@ -24,10 +24,7 @@ class Merges:
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray):
         self.base = np.int64(max(left.max(), right.max(), made.max()) + 1) if len(left) else np.int64(1)
         keys = left.astype(np.int64) * self.base + right
-        order = np.argsort(keys, kind="stable")
-        self.keys = np.append(keys[order], np.int64(2**62))
-        self.ranks = np.append(rank[order].astype(np.int32), NONE)
-        self.made = np.append(made[order].astype(np.int64), -1)
+        self._hash(keys, rank, made)
         first = np.full(int(self.base) + 1, -1, np.int64)  # the first rank at which a symbol can be made
         if len(made):
             by = np.argsort(-rank, kind="stable")
@@ -35,11 +32,42 @@ class Merges:
         self.early = bool((rank <= np.maximum(first[left], first[right])).any()) if len(rank) else False
         self.table = dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(rank.tolist(), made.tolist(), strict=True), strict=True))
 
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def _hash(self, keys: np.ndarray, rank: np.ndarray, made: np.ndarray) -> None:
+        """Open addressing with as many probes as the longest run needs."""
+        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        size = 1 << self.bits
+        self.keys = np.full(size, -2, np.int64)
+        self.ranks, self.made = np.full(size, NONE, np.int32), np.full(size, -1, np.int64)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            at = (self._spot(keys[left]) + self.probes) & (size - 1)
+            free = np.flatnonzero(self.keys[at] == -2)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = keys[left[put]], rank[left[put]], made[left[put]]
+            left = np.delete(left, put)
+            self.probes += 1
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the table, or one without a rank."""
         keys = left * self.base + right
         keys[(left >= self.base) | (right >= self.base)] = -1
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.ranks[at], NONE)
+        at = self._spot(keys)
+        look = np.flatnonzero(self.keys[at] != keys)
+        for _ in range(self.probes - 1):
+            if not len(look):
+                break
+            at[look] = (at[look] + 1) & (len(self.keys) - 1)
+            look = look[(self.keys[at[look]] != keys[look]) & (self.keys[at[look]] != -2)]
+        at[look] = -1
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self._find(left, right)
+        return np.where(at >= 0, self.ranks[at], NONE)
 
     def one_by_one(self, symbols: list[int]) -> list[int]:
         """Lowest rank first, then leftmost, with a heap: n log n."""
@@ -100,7 +128,7 @@ class Merges:
                 run = hit & ~np.concatenate([[False], hit[:-1]])
                 hit &= (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
             where = np.flatnonzero(hit)
-            made = self.made[np.searchsorted(self.keys, sym[where] * self.base + sym[where + 1])]
+            made = self.made[self._find(sym[where], sym[where + 1])]
             if self.early:  # would a pair with what stands beside it come first?
                 left, right = np.maximum(where - 1, 0), np.minimum(where + 2, len(sym) - 1)
                 bad = (seq[left] == seq[where]) & (left < where) & (self.rank(sym[left], made) <= rank[where])

@@ -25,7 +25,7 @@ from .common import named, slices, small_batches
 
 MARK = "▁"
 #: Words of one of a worker's two tables; the older one goes when the newer is full.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 
 class Codec:
@@ -71,8 +71,8 @@ class Codec:
         rank = np.array([place[score[i]] for i in made], np.int64)
         self.merges = Merges(np.array(left, np.int64), np.array(right, np.int64), rank, made_ids)
         self.chunk = re.compile(f"{MARK}+[^{MARK}]*")
-        self.known: dict[str, tuple[list[int], bytes, str]] = {}
-        self.old: dict[str, tuple[list[int], bytes, str]] = {}
+        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.old: dict[str, tuple[int, bytes, str]] = {}
         self.spelt = np.full(self.n_symbols, -1, np.int64)
         self.spelt[: self.n_ids] = np.arange(self.n_ids)
 
@@ -132,21 +132,30 @@ class Codec:
         flush()
         return "".join(out)
 
-    def table(self, chunks: list[str]) -> list[tuple[list[int], bytes, str]]:
-        """For each distinct chunk: ids, ids as decimal text, decoded text."""
-        known, old = self.known, self.old
-        new = [c for c in chunks if c not in known and c not in old]
-        made: dict[str, tuple[list[int], bytes, str]] = {}
+    def table(self, chunks: list[str]) -> list[tuple[int, bytes, str]]:
+        """For each distinct chunk: how many ids, the ids as decimal text, the decoded text."""
+        out: list = list(map(self.known.get, chunks))
+        fresh: dict[str, tuple[int, bytes, str]] = {}
+        miss = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in miss:
+            if x := self.old.get(chunks[i]):
+                out[i] = fresh[chunks[i]] = x
+            else:
+                new.append(i)
         if new:
-            for c, ids in zip(new, self.segment(new), strict=True):
-                made[c] = (ids, ",".join([self.decimal[i] for i in ids]).encode(), self.decode_chunk(ids))
-        out = [made.get(c) or known.get(c) or old[c] for c in chunks]
-        if len(known) + len(chunks) > REMEMBERED:
-            self.old, self.known = known, {}
-        self.known.update((c, x) for c, x in zip(chunks, out, strict=True) if len(c) <= 64)
+            decimal = self.decimal
+            for i, ids in zip(new, self.segment([chunks[i] for i in new]), strict=True):
+                out[i] = x = (len(ids), ",".join([decimal[k] for k in ids]).encode(), self.decode_chunk(ids))
+                if len(chunks[i]) <= 64:
+                    fresh[chunks[i]] = x
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.old, self.known = self.known, fresh
+        else:
+            self.known.update(fresh)
         return out
 
-    def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[tuple[list[int], bytes, str]], list[np.ndarray]]:
+    def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[tuple[int, bytes, str]], list[np.ndarray]]:
         """The distinct-chunk table and, for each text, the rows of it that the text is made of."""
         flat: list[str] = []
         sizes: list[int] = []
@@ -217,11 +226,11 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
         c = codec(model)
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            for i, j in slices(text, 2 << 20):
+            for i, j in slices(text, 6 << 20):
                 table, texts = c.encode_batch(text.slice(i, j - i).to_pylist())
-                ids_of, spelt, surface = ([x[k] for x in table] for k in range(3))
+                n_ids, spelt, surface = ([x[k] for x in table] for k in range(3))
                 out: list[list] = [[] for _ in names[1:]]
-                lens = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
+                lens = np.array(n_ids, np.int64)
                 for codes in texts:
                     own = codes.tolist()
                     back = "".join([surface[k] for k in own])[1:]  # the first chunk starts with the added marker
@@ -230,7 +239,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
                         out[1].append(hashlib.sha256(b",".join([spelt[k] for k in own])).hexdigest())
                         out[2].append(hashlib.sha256(back.encode()).hexdigest())
                     else:
-                        out[0].append([i for k in own for i in ids_of[k]])
+                        out[0].append([int(i) for k in own for i in spelt[k].split(b",")])
                         out[1].append(back)
                 kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names)
