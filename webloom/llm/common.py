@@ -29,11 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from a table in the shared folder: survives lost executors and ends the lineage."""
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """df, computed once and read back from a table in the shared folder: survives lost executors and ends the lineage. few: for small rows after a shuffle, not one small file for each partition but for eight."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/webloom-{uuid.uuid4().hex}"
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)  # not one small file for each shuffle partition
+    if few:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

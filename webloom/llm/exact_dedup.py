@@ -35,7 +35,7 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
 def _by_digest(found: DataFrame) -> DataFrame:
     """found without the texts; n_texts above 1 tells of texts that share a digest."""
-    return cut(found.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts")))
+    return cut(found.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts")), few=True)
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:

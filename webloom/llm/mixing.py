@@ -116,7 +116,7 @@ def slots(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as segments, one row for each part of a document that fills a slot: doc_id, nth, bucket (they tell rows that repeat an id apart), source, size, source_size, target, epoch, block_no, point (order of slots), at (first word in the document), words. A document of which nothing is taken has one row with words 0 and point null."""
     sized = cut(docs.select(named(id_col).alias("doc_id"), named(source_col).cast("string").alias("source"), word_count(named(text_col)).alias("size")))
-    sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most).withColumn("words", F.floor("target").cast("long")))
+    sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most).withColumn("words", F.floor("target").cast("long")), few=True)
     plan = sources.select(F.col("source").alias("s"), "source_size", "target", "order", F.col("words").alias("wanted"))
     rows = shuffled(sized)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")

@@ -220,7 +220,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
     """One row for each input row: doc_id, fp (long), component_id (the smallest id reachable over links of at most `threshold` bits)."""
     rows = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), few=True)
     found = cut(links(distinct, threshold))
     roots = components(found)
     of_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
