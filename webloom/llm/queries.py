@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, simhash, token_counts, webp
+from . import exact_dedup, mixing, pieces, quality, simhash, token_counts, webp
 from .common import read_table
 
 
@@ -46,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.members(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 OP5_SQL = rf"""
@@ -95,6 +99,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL}
