@@ -33,6 +33,8 @@ from .common import named, slices, small_batches
 PAIRS = 256
 DENSE = 26
 N_FEATURES = DENSE + PAIRS
+#: Bytes of text at a time; a byte takes about 150 bytes of arrays.
+SLICE = 1 << 20
 
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 a-z, 2 A-Z, 3 digit, 4 space, 5 line end, 6 . , ; : ? ' " - ( ), 7 ! 8 | 9 other ASCII signs, 10 above ASCII
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -171,7 +173,7 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(0), "")
-            for i, j in slices(text):
+            for i, j in slices(text, SLICE):
                 x = features_of(pc.cast(text.slice(i, j - i), pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            for i, j in slices(text, 2 << 20):
+            for i, j in slices(text, SLICE):
                 part = pc.cast(text.slice(i, j - i), pa.binary()).to_pylist()
                 x = np.clip((features_of(part) - model.centre) / model.scale, -8, 8) * model.scale + model.centre
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(x)), *[b.column(k).slice(i, j - i) for k in range(2, b.num_columns)]], ["doc_id", "score", *keep])
