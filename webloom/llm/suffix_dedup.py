@@ -113,23 +113,31 @@ class Suffixes:
         words = np.zeros((n, 8), np.uint8)
         for k in range(8):
             words[:, 7 - k] = padded[k : n + k]
-        key = words.reshape(-1).view(np.uint64).astype(np.uint64)
+        key = words.reshape(-1).view(np.uint64)
         self.levels: list[tuple[int, np.ndarray]] = []
-        size = 8
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        # ranks are the first place of those that are equal so far; only these are sorted again
+        rank, places, size = np.empty(n, np.int32), np.arange(n), 8
+        pos, ordered = order, key[order]
         while True:
-            ordered = key[order]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1])])).astype(np.int32)
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            first = places[np.flatnonzero(new)][np.cumsum(new) - 1]
+            rank = rank.copy()
+            rank[pos] = first
             self.levels.append((size, rank))
-            if 2 * size > 2 * depth - 1 or size >= depth:
+            if size >= depth:
                 break
-            shifted = np.zeros(n, np.int64)
-            if size < n:
-                shifted[: n - size] = rank[size:].astype(np.int64) + 1
-            key = rank.astype(np.int64) * (n + 1) + shifted
-            order = np.argsort(key, kind="stable")
+            alone = new & np.append(new[1:], True)
+            places, pos = places[~alone], pos[~alone]
+            after = pos + size
+            key = rank[pos].astype(np.int64) * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            pos, ordered = pos[by], key[by]
+            order[places] = pos
             size *= 2
+            if not len(pos):
+                self.levels.append((size, rank))
+                break
         self.order = order.astype(np.int64)
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -162,15 +170,15 @@ def _nearest_smaller(pos: np.ndarray, head: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_matches(data: np.ndarray, min_bytes: int, later: bool = False, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def longest_matches(data: np.ndarray, min_bytes: int, later: bool = False, valid: np.ndarray | None = None, suffixes: Suffixes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each position the length of its longest earlier (or later) match and where that starts; 0 and -1 below min_bytes. Lengths are exact up to min_bytes, and at least that beyond. valid: the positions that take part."""
     n = len(data)
     length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     if n <= min_bytes:
         return length, source
-    s = Suffixes(data, min_bytes)
+    s = suffixes or Suffixes(data, min_bytes)
     order = s.order if valid is None else s.order[valid[s.order]]
-    near = s.levels[max(0, len(s.levels) - 2)][1][order]  # neighbours can only share enough if they share this
+    near = max((x for x in s.levels if x[0] <= min_bytes), key=lambda x: x[0])[1][order]  # neighbours can only share enough if they share this
     link = np.zeros(len(order), bool)
     may = np.flatnonzero(near[1:] == near[:-1]) + 1
     link[may] = s.common(order[may - 1], order[may]) >= min_bytes
@@ -290,9 +298,10 @@ def _by_suffixes(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataF
             valid = np.zeros(len(data), bool)  # windows that lie inside their segment
             for x, m in zip((ends - lens).tolist(), nw.tolist(), strict=True):
                 valid[x : x + m] = True
-            hit = longest_matches(data, min_bytes, False, valid)[0] >= min_bytes
+            suffixes = Suffixes(data, min_bytes)
+            hit = longest_matches(data, min_bytes, False, valid, suffixes)[0] >= min_bytes
             if not keep_first:
-                hit |= longest_matches(data, min_bytes, True, valid)[0] >= min_bytes
+                hit |= longest_matches(data, min_bytes, True, valid, suffixes)[0] >= min_bytes
             first = hit & ~np.concatenate([[False], hit[:-1]])
             owner = np.repeat(np.arange(len(seg)), lens)
             first[1:] |= hit[1:] & (owner[1:] != owner[:-1])
@@ -350,7 +359,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     keyed = _keyed(docs, id_col, text_col)
     found = cut(runs(keyed, min_bytes, gram))
     one = F.struct("doc_id", "th", "a", "nw", "off")
-    classes = cut(found.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")))
+    parts = ("doc_id", "th", "a", "nw", "off")
+    if keep_first:
+        classes = found.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+    else:  # any one of a class will do; all parts come from the same row, and fixed-width buffers are hashed
+        classes = found.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in parts]).select("ah", "rh", "n", F.struct(*parts).alias("one"))
+    classes = cut(classes, few=True)
     copied = classes.where("n > 1").select(F.col("ah").alias("ah2"), F.col("rh").alias("rh2"), "one")
     whole = found.join(copied, (F.col("ah") == F.col("ah2")) & (F.col("rh") == F.col("rh2")))
     if keep_first:
@@ -359,7 +373,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("one.nw") + min_bytes).alias("bytes")).where("k > 1")
     several = several.select(F.col("ah").alias("ah2"), (F.col("bytes") > BUFFER).alias("big"))
     wanted = classes.join(several, F.col("ah") == F.col("ah2")).select("one.*", "ah", "big")
-    segments = cut(_segments(keyed, wanted, min_bytes))
+    segments = cut(_segments(keyed, wanted, min_bytes), few=True)
     spans = spans.unionByName(_by_suffixes(segments.where(~F.col("big")), min_bytes, keep_first))
     return spans.unionByName(_by_windows(segments.where("big"), min_bytes, keep_first))
 
