@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality, simhash, suffix_dedup, token_counts, webp, wrappers
+from . import exact_dedup, mixing, pieces, quality, quotes, simhash, suffix_dedup, token_counts, webp, wrappers
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -104,6 +108,7 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 QUERIES = {
     "op1_webp_media": op1_webp_media,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_token_counts": op4_token_counts,
     "op5_source_mixing": op5_source_mixing,
     "op6_sentencepiece": op6_sentencepiece,
