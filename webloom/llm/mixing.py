@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, named, one_space
+from .common import cut, named, one_space, tidy
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block.
@@ -110,7 +110,7 @@ def slots(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), order, np.int32)), pa.array(rank), pa.array(point)], ["source_order", "block_no", "point"])
 
     chunks = rows.where("n_slots > 0").select(F.col("order").cast("int"), "n_slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk).cast("long"))).alias("c"))
-    return chunks.repartition("order", "c").mapInArrow(fill, "source_order int, block_no long, point long")
+    return chunks.repartition("order", "c").mapInArrow(tidy(fill), "source_order int, block_no long, point long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Merges
-from .common import named, slices, small_batches
+from .common import named, slices, small_batches, tidy
 
 MARK = "▁"
 #: Words of one of a worker's two tables; the older one goes when the newer is full.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class Codec:
@@ -226,7 +226,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
         c = codec(model)
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            for i, j in slices(text, 6 << 20):
+            for i, j in slices(text, 4 << 20):
                 table, texts = c.encode_batch(text.slice(i, j - i).to_pylist())
                 n_ids, spelt, surface = ([x[k] for x in table] for k in range(3))
                 out: list[list] = [[] for _ in names[1:]]
@@ -245,4 +245,4 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, slices, small_batches
+from .common import named, slices, small_batches, tidy
 
 PAIRS = 256
 DENSE = 26
@@ -177,7 +177,7 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
                 x = features_of(pc.cast(text.slice(i, j - i), pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    return rows.select("text").mapInArrow(run, "x binary")
+    return rows.select("text").mapInArrow(tidy(run), "x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = np.clip((features_of(part) - model.centre) / model.scale, -8, 8) * model.scale + model.centre
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(x)), *[b.column(k).slice(i, j - i) for k in range(2, b.num_columns)]], ["doc_id", "score", *keep])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, shared_folder, slices, small_batches
+from .common import cut, named, shared_folder, slices, small_batches, tidy
 
 SEED = 42
 #: Generator polynomials of the binary Golay and Hamming codes (fixed values of those codes).
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = fingerprints_of(text.slice(i, j - i).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 @lru_cache
@@ -182,8 +182,8 @@ def links(distinct: DataFrame, threshold: int = 2, rows_at_once: int = 2000) ->
                 row, anchor = visits_of(fp.view(np.uint64), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[row])], ["at", "b"])
 
-    at_home = distinct.select("fp").mapInArrow(homes, "anchor long, a long")
-    away = distinct.select("fp").mapInArrow(visits, "at long, b long")
+    at_home = distinct.select("fp").mapInArrow(tidy(homes), "anchor long, a long")
+    away = distinct.select("fp").mapInArrow(tidy(visits), "at long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return at_home.join(away, (F.col("anchor") == F.col("at")) & near).select("a", "b")
 
@@ -338,9 +338,9 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
         if len(key):
             yield cells(key, ids, f)
 
-    sketches = cut(rows.mapInArrow(draw, "doc_id long, " + ", ".join(f"{x} long" for x in words_of)))
-    spread = sketches.mapInArrow(replicate, "anchor long, doc_id long, " + ", ".join(f"{x} long" for x in words_of))
-    near = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").where("a <> b")
+    sketches = cut(rows.mapInArrow(tidy(draw), "doc_id long, " + ", ".join(f"{x} long" for x in words_of)))
+    spread = sketches.mapInArrow(tidy(replicate), "anchor long, doc_id long, " + ", ".join(f"{x} long" for x in words_of))
+    near = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(compare), "a long, b long").where("a <> b")
     near = cut(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), few=True)
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +361,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = near.select(F.col("a").alias("n")).unionByName(near.select(F.col("b").alias("n"))).distinct()
-    sets = rows.join(ends, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(shingle_sets, "doc_id long, shingles binary")
+    sets = rows.join(ends, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(tidy(shingle_sets), "doc_id long, shingles binary")
     left, right = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t"))
     pairs = near.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "s", "t")
-    return pairs.mapInArrow(check, "a long, b long").distinct()
+    return pairs.mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, slices, small_batches
+from .common import cut, named, slices, small_batches, tidy
 
 MIN_BYTES, GRAM = 400, 128
 #: Bytes of representatives in one suffix array; anchors with more take the way by windows.
@@ -254,7 +254,7 @@ def runs(keyed: DataFrame, min_bytes: int, gram: int) -> DataFrame:
                     begin = a - (ends - lens)[d] + np.array(base[k:after], np.int64)[d]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(begin), pa.array(nw.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ah.view(np.int64)), pa.array(rh.view(np.int64))], names)
 
-    return keyed.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, a long, nw int, off int, ah long, rh long")
+    return keyed.mapInArrow(tidy(run), f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, a long, nw int, off int, ah long, rh long")
 
 
 def _segments(keyed: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _segments(keyed: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
                     again = pa.array(np.full(n, k))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), *[x.slice(c, n) for x in w], pa.array(seg, pa.binary())], ["doc_id", "th", "a", "nw", "off", "ah", "big", "seg"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, th long, a long, nw int, off int, ah long, big boolean, seg binary")
+    return both.mapInArrow(tidy(run), f"doc_id {kind}, th long, a long, nw int, off int, ah long, big boolean, seg binary")
 
 
 def _by_suffixes(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataFrame:
@@ -326,7 +326,7 @@ def _by_suffixes(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataF
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, s long, e long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, th long, s long, e long")
 
 
 def _by_windows(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataFrame:
@@ -342,7 +342,7 @@ def _by_windows(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataFr
                 again = pa.array(np.full(n, k))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(np.arange(n) + b.column(2)[k].as_py()), pa.array(w[:, 0].view(np.int64)), pa.array(w[:, 1].view(np.int64))], ["doc_id", "th", "s", "w1", "w2"])
 
-    windows = segments.select("doc_id", "th", "a", "seg").mapInArrow(run, f"doc_id {kind}, th long, s long, w1 long, w2 long")
+    windows = segments.select("doc_id", "th", "a", "seg").mapInArrow(tidy(run), f"doc_id {kind}, th long, s long, w1 long, w2 long")
     counts = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "s")).alias("first")).where("n > 1")
     counts = counts.withColumnsRenamed({"w1": "x1", "w2": "x2"})
     found = windows.join(counts, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")))
@@ -415,4 +415,4 @@ def _result(docs: DataFrame, min_bytes: int, keep_first: bool, gram: int, id_col
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names)
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digest else 'binary'}")
+    return both.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digest else 'binary'}")

@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Merges
-from .common import named, slices, small_batches
+from .common import named, slices, small_batches, tidy
 
 #: Words of one of a worker's two tables; the older one goes when the newer is full.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: What the library's \s is: Unicode White_Space. str.split() also cuts at the four separators \x1c to \x1f.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -143,4 +143,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

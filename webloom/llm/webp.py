@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import named, slices, small_batches
+from .common import named, slices, small_batches, tidy
 
 ROW, TILE = 64, 1 << 20
 LENGTHS, DISTANCES = 24, 40
@@ -637,4 +637,4 @@ def _run(docs: DataFrame, id_col: str, text_col: str, read_back: bool) -> DataFr
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if read_back else "n_bytes long, media array<binary>"
-    return rows.mapInArrow(run, f"doc_id {kind}, {more}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, {more}")

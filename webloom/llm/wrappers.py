@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, slices, small_batches
+from .common import cut, named, slices, small_batches, tidy
 from .html_dom import INLINE, Node, parse
 
 #: Partial wrappers of a host are merged in so many groups first.
@@ -341,7 +341,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
             found = s if found is None else pruned(merged(found, s))
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found.plain())]})
 
-    partial = part.mapInArrow(fold, "host string, salt int, wrapper string")
+    partial = part.mapInArrow(tidy(fold), "host string, salt int, wrapper string")
     salted = partial.groupBy("host", "salt").applyInPandas(join, "host string, wrapper string")
     return salted.groupBy("host").applyInPandas(join, "host string, wrapper string")
 
@@ -368,4 +368,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     texts.append(extract(p, known.get(w)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return both.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return both.mapInArrow(tidy(run), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
