@@ -52,17 +52,21 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with their own columns: of equal texts the smallest id. Joined by digest and id, so copies of one text stay spread."""
+    """The rows of docs that stay, with their own columns: of equal texts the smallest id, one of rows that repeat it, or one row where all ids are null. Joined by digest and id, so copies of one text stay spread, and the rows travel once."""
     found = winners(docs, id_col, text_col, salts)
     groups = _by_digest(found)
-    norm, digest, kept = "__webloom_norm", "__webloom_digest", "__webloom_keep"
-    rows = docs.withColumn(norm, one_space(named(text_col))).withColumn(digest, F.sha2(norm, 256))
-    one = groups.where("n_texts = 1").select(F.col("digest").alias(digest), F.col("keep_id").alias(kept))
-    same_id = F.col(kept).eqNullSafe(named(id_col))
-    out = rows.join(one, (rows[digest] == one[digest]) & same_id, "left_semi")
-    shared = groups.where("n_texts > 1").select(F.col("digest").alias(digest))
+    digest, kept = "__webloom_digest", "__webloom_keep"
+    rows = docs.withColumn(digest, F.sha2(one_space(named(text_col)), 256))
+    one = groups.where("n_texts = 1").select(F.col("digest").alias("__webloom_d"), F.col("keep_id").alias(kept))
+    out = rows.join(one, (F.col(digest) == F.col("__webloom_d")) & (named(id_col) == F.col(kept)), "left_semi").dropDuplicates([digest, id_col])
+    if not one.where(F.col(kept).isNull()).isEmpty():
+        nameless = rows.where(named(id_col).isNull()).join(one.where(F.col(kept).isNull()), F.col(digest) == F.col("__webloom_d"), "left_semi")
+        out = out.unionByName(nameless.dropDuplicates([digest]))
+    shared = groups.where("n_texts > 1").select("digest")
     if not shared.isEmpty():
-        several = found.join(groups.where("n_texts > 1").select("digest"), "digest")
-        several = several.select(F.col("digest").alias(digest), F.col("norm").alias(norm), F.col("keep_id").alias(kept))
-        out = out.unionByName(rows.join(several, (rows[digest] == several[digest]) & (rows[norm] == several[norm]) & same_id, "left_semi"))
-    return out.dropDuplicates([digest, norm, id_col]).drop(norm, digest)
+        several = found.join(shared, "digest").select(F.col("digest").alias("__webloom_d"), F.col("norm").alias("__webloom_n"), F.col("keep_id").alias(kept))
+        norm = "__webloom_norm"
+        rows = rows.withColumn(norm, one_space(named(text_col)))
+        same = (F.col(digest) == F.col("__webloom_d")) & (F.col(norm) == F.col("__webloom_n")) & named(id_col).eqNullSafe(F.col(kept))
+        out = out.unionByName(rows.join(several, same, "left_semi").dropDuplicates([digest, norm, id_col]).drop(norm))
+    return out.drop(digest)
