@@ -64,6 +64,17 @@ def tidy(run):
     return wrapped
 
 
+#: Classes of ids that a prefilter tells apart; so many rows of one long are the most it broadcasts.
+CLASSES = 1 << 20
+
+
+def maybe_in(df: DataFrame, key: Column, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key may be among ids (a table of one column), or with left_anti those whose key certainly isn't: by a class of its hash, of which there are CLASSES, so the other side of this broadcast has a bound. What is left to be compared exactly is then a few rows more than needed, or, beyond millions of ids, as many as before."""
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(CLASSES)).alias("__webloom_class")
+    classes = ids.select(of(F.col(ids.columns[0]))).distinct()
+    return df.join(F.broadcast(classes), F.pmod(F.xxhash64(key), F.lit(CLASSES)) == F.col("__webloom_class"), how)
+
+
 def named(c: str) -> Column:
     """The column of exactly this name, dots and spaces included."""
     return F.col("`" + c.replace("`", "``") + "`")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, shared_folder, slices, small_batches, tidy
+from .common import cut, maybe_in, named, shared_folder, slices, small_batches, tidy
 
 SEED = 42
 #: Generator polynomials of the binary Golay and Hamming codes (fixed values of those codes).
@@ -340,7 +340,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
 
     sketches = cut(rows.mapInArrow(tidy(draw), "doc_id long, " + ", ".join(f"{x} long" for x in words_of)))
     spread = sketches.mapInArrow(tidy(replicate), "anchor long, doc_id long, " + ", ".join(f"{x} long" for x in words_of))
-    near = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(compare), "a long, b long").where("a <> b")
+    near = spread.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(tidy(compare), "a long, b long").where("a <> b")
     near = cut(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), few=True)
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = near.select(F.col("a").alias("n")).unionByName(near.select(F.col("b").alias("n"))).distinct()
-    sets = rows.join(ends, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(tidy(shingle_sets), "doc_id long, shingles binary")
+    sets = maybe_in(rows, F.col("doc_id"), ends).join(ends, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(tidy(shingle_sets), "doc_id long, shingles binary")
     left, right = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t"))
     pairs = near.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "s", "t")
     return pairs.mapInArrow(tidy(check), "a long, b long").distinct()
@@ -370,5 +370,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group that similar() joins only those of the smallest id. Rows that repeat an id stay or go together; rows with a null id stay."""
     found = cut(similar(docs, words, similarity, id_col=id_col, text_col=text_col))
-    gone = components(found).where("node <> root").select(F.col("node").alias("__webloom_gone")).distinct()
-    return docs.join(gone, named(id_col).cast("long") == F.col("__webloom_gone"), "left_anti")
+    gone = cut(components(found).where("node <> root").select(F.col("node").alias("__webloom_gone")).distinct(), few=True)
+    key = named(id_col).cast("long")
+    unsure = maybe_in(docs, key, gone).join(gone, key == F.col("__webloom_gone"), "left_anti")
+    return maybe_in(docs, key, gone, "left_anti").unionByName(unsure)
