@@ -1,4 +1,440 @@
-"""The registered queries of the engine itself, and their SQL."""
+"""The registered queries of the engine itself over the driver's tables, and SQL for the same."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import html as H
+from webloom.functions import text as X
+from webloom.functions import urls as U
+from webloom.operators import crawl, index, search, state
+from webloom.plans import corpora
+from webloom.sources import flatfile
+from webloom.streaming import ingest
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- the parts of the SQL side -------------------------------------------------------------------------------------
+
+FOLD = "lower(translate(coalesce({c}, ''), 'İI', 'iı'))"
+SANITIZE = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '[\s\p{{Z}}\x{{85}}]+', ' ', 'g'))"
+
+
+def sql_tokens(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array({FOLD.format(c=c)}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def sql_unescape(c: str) -> str:
+    for pattern, text in H.REFERENCES:
+        text = text.replace("'", "''")
+        c = f"regexp_replace({c}, '{pattern}', '{text}', 'g')"
+    return c
+
+
+def sql_removed(c: str) -> str:
+    for tag in ("script", "style", "title"):
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)', ' ', 'g')"
+    return rf"regexp_replace({c}, '(?is)<!--.*?(?:-->|$)|<!doctype[^>]*>', ' ', 'g')"
+
+
+BLOCK_TAGS = rf"(?is)</?(?:{H.BLOCK_RE})\b[^>]*>"
+PAGE_TEXT = SANITIZE.format(c=sql_unescape(f"regexp_replace(regexp_replace({sql_removed('html')}, '{BLOCK_TAGS}', ' ', 'g'), '(?s)<[^>]+>', '', 'g')"))
+PAGE_TITLE = "substr(" + SANITIZE.format(c=sql_unescape(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)(?:</title\s*>|$)', 1)")) + ", 1, 200)"
+
+
+def sql_snippet() -> str:
+    c = sql_removed("html")
+    for tag in H.SNIPPET_SKIPS:
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    c = rf"array_to_string(regexp_extract_all({c}, '(?is)<p\b[^>]*>.*?(?:</p>|$)'), '')"
+    c = rf"regexp_replace(regexp_replace({c}, '(?is)<(?:{H.BLOCK_RE})\b[^>]*>', ' ', 'g'), '(?s)<[^>]+>', '', 'g')"
+    return SANITIZE.format(c=sql_unescape(c))
+
+
+U_RAW = "trim(url)"
+URL_PARTS = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
+URL_CTE = rf"""
+u0 AS (SELECT *, lower(regexp_extract({U_RAW}, {URL_PARTS}, 1)) AS scheme, lower(regexp_extract({U_RAW}, {URL_PARTS}, 2)) AS host0,
+       regexp_replace(regexp_extract({U_RAW}, {URL_PARTS}, 3), '/{{2,}}', '/', 'g') AS path0, regexp_extract({U_RAW}, {URL_PARTS}, 4) AS query0 FROM pages),
+u1 AS (SELECT *, CASE WHEN scheme = 'http' THEN regexp_replace(host0, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host0, ':443$', '') ELSE host0 END AS host1,
+       CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path1 FROM u0),
+u AS (SELECT * EXCLUDE (url), scheme || '://' || host1 || path1 || CASE WHEN query0 = '' THEN '' ELSE '?' || query0 END AS url, scheme || '://' || host1 || '/' AS origin_url,
+      CAST(len(list_filter(string_split(path1, '/'), lambda x: x <> '')) AS INTEGER) AS depth FROM u1)"""
+PAGES_CTE = f"{URL_CTE}, corpus AS (SELECT url, {PAGE_TEXT} AS text, origin_url, depth FROM u)"
+DOCS_CTE = "corpus AS (SELECT 'doc://' || source || '/' || CAST(doc_id AS VARCHAR) AS url, text, 'doc://' || source AS origin_url, CAST(doc_id % 4 AS INTEGER) AS depth, doc_id FROM documents)"
+CONV_CTE = "corpus AS (SELECT 'conv://' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url, text, 'conv://' || CAST(conv_id AS VARCHAR) AS origin_url, CAST(turn AS INTEGER) AS depth FROM conversations)"
+POST_CTE = f"post AS (SELECT word, url, min(origin_url) AS origin_url, min(depth) AS depth, count(*) AS term_frequency FROM (SELECT unnest({sql_tokens('text')}) AS word, url, origin_url, depth FROM corpus) GROUP BY word, url)"
+
+
+def sql_hits(words: list[str]) -> str:
+    rows = ", ".join(f"('{w}', {i})" for i, w in enumerate(words))
+    return f"q(token, nth) AS (VALUES {rows}), hits AS (SELECT url, CAST(sum(term_frequency) AS BIGINT) AS frequency, min(depth) AS depth, min(origin_url) AS origin_url FROM post JOIN q ON word = token GROUP BY url)"
+
+
+RANKED = "SELECT url, origin_url, depth, frequency, 10 * frequency + 1000 - 5 * depth AS relevance_score FROM hits ORDER BY relevance_score DESC, depth, url"
+AT = "epoch_us(ts) / 1000000.0"
+
+
+def ranked_page(corpus: DataFrame, text: str, limit: int, offset: int) -> DataFrame:
+    return search.page(index.postings(corpus), text, limit, offset).select("url", "origin_url", "depth", "frequency", F.col("relevance_score").cast("long").alias("relevance_score"))
+
+
+# --- search --------------------------------------------------------------------------------------------------------
+
+
+@query("search_pages", f"WITH {PAGES_CTE}, {POST_CTE}, {sql_hits(['the', 'and', 'the'])} {RANKED} LIMIT 10 OFFSET 5")
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_page(corpora.pages(spark, sf_dir), "The and THE!", 10, 5)
+
+
+@query("search_documents_multiword", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['the', 'of', 'the', 'ing'])} {RANKED} LIMIT 20")
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_page(corpora.documents(spark, sf_dir), "the of the ing", 20, 0)
+
+
+@query("search_conversations_page2", f"WITH {CONV_CTE}, {POST_CTE}, {sql_hits(['la', 'de'])} {RANKED} LIMIT 10 OFFSET 10")
+def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_page(corpora.conversations(spark, sf_dir), "la de", 10, 10)
+
+
+@query("search_total", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['the', 'die'])} SELECT count(*) AS total FROM hits")
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.total(index.postings(corpora.documents(spark, sf_dir)), "the die")
+
+
+@query(
+    "search_hydrated",
+    f"WITH {PAGES_CTE}, {POST_CTE}, {sql_hits(['the'])}, best AS ({RANKED} LIMIT 10), s AS (SELECT url, {PAGE_TITLE} AS title, {sql_snippet()} AS snip FROM u) "
+    "SELECT best.*, coalesce(title, '') AS title, coalesce(CASE WHEN len(snip) > 200 THEN rtrim(substr(snip, 1, 200)) || '...' ELSE snip END, '') AS snippet FROM best LEFT JOIN s ON best.url = s.url",
+)
+def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranked_page(corpora.pages(spark, sf_dir), "the", 10, 0)
+    return search.hydrate(rows, corpora.page_metadata(spark, sf_dir))
+
+
+@query("search_miss_empty", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['zzzznothing'])} {RANKED}")
+def search_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_page(corpora.documents(spark, sf_dir), "zzzznothing", 100, 0)
+
+
+@query("prefix_search", f"WITH {DOCS_CTE}, {POST_CTE} SELECT url, CAST(sum(term_frequency) AS BIGINT) AS term_frequency, min(depth) AS depth, min(origin_url) AS origin_url FROM post WHERE starts_with(word, 'thi') GROUP BY url")
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.prefix(index.postings(corpora.documents(spark, sf_dir)), " Thi".replace("Thi", "thi"))
+
+
+WORDS = ("the", "und", "zzzz", "the ", "la", "ISTANBUL", "ing")
+WORDS_SQL = "w(word) AS (VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ")"
+
+
+@query("contains_words", f"WITH {DOCS_CTE}, {POST_CTE}, {WORDS_SQL} SELECT word, {FOLD.format(c='trim(word)')} IN (SELECT word FROM post) AS found FROM w")
+def contains_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.contains(index.postings(corpora.documents(spark, sf_dir)), spark.createDataFrame([(w,) for w in WORDS], "word string"))
+
+
+@query("starts_with_flags", f"WITH {DOCS_CTE}, {POST_CTE}, {WORDS_SQL} SELECT w.word AS prefix, coalesce(bool_or(starts_with(post.word, {FOLD.format(c='trim(w.word)')})), false) AS found FROM w CROSS JOIN (SELECT DISTINCT word FROM post) post GROUP BY w.word")
+def starts_with_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.starts_with(index.postings(corpora.documents(spark, sf_dir)), spark.createDataFrame([(w,) for w in WORDS], "prefix string"))
+
+
+# --- text, index ---------------------------------------------------------------------------------------------------
+
+
+@query("fold_and_token_counts", f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({sql_tokens('text')})) AS BIGINT) AS n_words, sha256({FOLD.format(c='text')}) AS folded FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.tokens(F.col("text"))
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_words"), X.sha256_hex(X.fold(F.col("text"))).alias("folded"))
+
+
+@query("sanitized_documents", "SELECT doc_id, sha256(" + SANITIZE.format(c="coalesce(text, '')") + ") AS clean FROM documents")
+def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", X.sha256_hex(X.sanitize(F.col("text"))).alias("clean"))
+
+
+@query("postings_conversations", f"WITH {CONV_CTE}, {POST_CTE} SELECT * FROM post")
+def postings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(corpora.conversations(spark, sf_dir))
+
+
+@query("vocabulary_size", f"WITH {DOCS_CTE}, {POST_CTE} SELECT count(DISTINCT word) AS words FROM post")
+def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.vocabulary_size(index.postings(corpora.documents(spark, sf_dir)))
+
+
+@query("node_count", f"WITH {DOCS_CTE}, {POST_CTE}, w AS (SELECT DISTINCT word FROM post), p AS (SELECT DISTINCT substr(word, n, 1000) AS x FROM w, (SELECT 1 AS n)), pre AS (SELECT DISTINCT substr(word, 1, k) AS x FROM (SELECT word, unnest(range(1, len(word) + 1)) AS k FROM w)) SELECT count(*) + 1 AS nodes FROM pre")
+def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.node_count(index.postings(corpora.documents(spark, sf_dir)))
+
+
+@query("bulk_upsert_last_wins", "SELECT event_type AS word, 'user/' || CAST(user_id AS VARCHAR) AS url, 'e' || CAST(arg_max(event_id, event_id) AS VARCHAR) AS origin_url, CAST(arg_max(event_id % 7, event_id) AS INTEGER) AS depth, CAST(arg_max(event_id % 11, event_id) AS BIGINT) AS term_frequency FROM events GROUP BY ALL")
+def bulk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").select(F.col("event_type").alias("word"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("url"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("origin_url"), (F.col("event_id") % 7).alias("depth"), (F.col("event_id") % 11).alias("term_frequency"), F.col("event_id").alias("seq"))
+    return index.bulk_upsert(rows)
+
+
+@query("incremental_merge_additive", f"WITH {DOCS_CTE}, {POST_CTE} SELECT * FROM post")
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.documents(spark, sf_dir)
+    return index.merge(index.postings(docs.where("doc_id % 2 = 0")), index.postings(docs.where("doc_id % 2 = 1")))
+
+
+@query("purge_by_origin", f"WITH {DOCS_CTE}, {POST_CTE}, w AS (SELECT word, count(*) FILTER (origin_url = 'doc://src1') AS gone, bool_and(origin_url = 'doc://src1') AS dead FROM post GROUP BY word) SELECT CAST(sum(gone) AS BIGINT) AS postings_removed, count(*) FILTER (dead) AS words_unindexed, (SELECT count(*) FROM post WHERE origin_url <> 'doc://src1') AS postings_left FROM w")
+def purge_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, removed = index.purge_origin(index.postings(corpora.documents(spark, sf_dir)), "doc://src1")
+    return removed.join(left.agg(F.count(F.lit(1)).alias("postings_left")))
+
+
+SEED_SQL = "(SELECT min(origin_url) FROM u)"
+
+
+@query(
+    "purge_store_cascade",
+    f"WITH {URL_CTE} SELECT count(*) FILTER (origin_url = {SEED_SQL}) AS metadata_removed, count(DISTINCT CASE WHEN origin_url = {SEED_SQL} THEN sha256(url) END) AS visited_removed, count(*) FILTER (origin_url <> {SEED_SQL}) AS metadata_left FROM u",
+)
+def purge_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = corpora.page_metadata(spark, sf_dir)
+    seed = meta.agg(F.min("origin").alias("o")).first()["o"] or ""
+    visited = meta.select(U.url_hash(F.col("url")).alias("url_hash")).distinct()
+    empty = spark.createDataFrame([], "word string, url string, origin_url string, depth int, term_frequency long")
+    done = state.purge(empty, meta, visited, seed)
+    return done.removed.select("metadata_removed", "visited_removed").join(done.metadata.agg(F.count(F.lit(1)).alias("metadata_left")))
+
+
+# --- pages and URLs ------------------------------------------------------------------------------------------------
+
+
+@query("page_text_stats", f"SELECT page_id, CAST(len({PAGE_TEXT}) AS BIGINT) AS n_chars, sha256({PAGE_TEXT}) AS digest FROM pages")
+def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "pages").select("page_id", H.page_text(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query("page_titles", f"SELECT page_id, {PAGE_TITLE} AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+
+
+@query("page_snippets", f"WITH s AS (SELECT page_id, {sql_snippet()} AS t FROM pages) SELECT page_id, CASE WHEN len(t) > 200 THEN rtrim(substr(t, 1, 200)) || '...' ELSE t END AS snippet FROM s")
+def page_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "pages").select("page_id", H.page_snippet(F.col("html")).alias("snippet"))
+
+
+@query("page_links", rf"SELECT DISTINCT url AS src, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) || h AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)) AS h FROM pages)")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(H.page_links(F.col("url"), F.col("html"))).alias("dst"))
+
+
+@query("url_normalize", f"WITH {URL_CTE} SELECT page_id, url FROM u")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query("url_hash", f"WITH {URL_CTE} SELECT page_id, sha256(url) AS url_hash FROM u")
+def url_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.table(spark, sf_dir, "pages").select("page_id", U.url_hash(F.col("url")).alias("url_hash"))
+
+
+#: URLs and whether they may be fetched, as a table of expected values.
+URL_CASES = (
+    ("https://example.com/a", True), ("ftp://example.com/", False), ("http://localhost/", False), ("http://127.0.0.1/", False), ("http://10.2.3.4:8080/x", False),
+    ("http://172.20.0.1/", False), ("http://172.32.0.1/", True), ("http://192.168.9.9/", False), ("http://169.254.169.254/latest", False), ("http://8.8.8.8/", True),
+    ("http://224.0.0.1/", False), ("http://0.0.0.0/", False), ("http://[::1]/", False), ("http://[fe80::1%25eth0]/", False), ("http://[2606:4700::1111]/", True),
+    ("", False), ("http:///x", False), ("HTTPS://EXAMPLE.org", True), ("http://metadata.google.internal/", False), ("http://[fd00:ec2::254]/", False),
+)
+
+
+@query("url_validate", "WITH c(url, ok) AS (VALUES " + ", ".join(f"('{u}', {str(ok).lower()})" for u, ok in URL_CASES) + ") SELECT url, ok FROM c UNION ALL SELECT url, true AS ok FROM pages")
+def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([(u,) for u, _ in URL_CASES], "url string")
+    return cases.unionByName(corpora.table(spark, sf_dir, "pages").select("url")).select("url", U.is_valid_url(F.col("url")).alias("ok"))
+
+
+# --- flat files ----------------------------------------------------------------------------------------------------
+
+
+@query("shard_counts", f"WITH {DOCS_CTE}, {POST_CTE} SELECT CASE WHEN regexp_matches(substr(word, 1, 1), '^[a-z]$') THEN substr(word, 1, 1) ELSE '_misc' END AS shard, count(*) AS records FROM post GROUP BY 1")
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatfile.shard_counts(index.postings(corpora.documents(spark, sf_dir)))
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    import uuid
+
+    return f"{base.rstrip('/')}/webloom-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="webloom-")
+
+
+@query("export_import_roundtrip", f"WITH {CONV_CTE}, {POST_CTE} SELECT word, url, origin_url, depth, term_frequency FROM post")
+def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark) + "/shards"
+    flatfile.export_postings(index.postings(corpora.conversations(spark, sf_dir)), path)
+    return flatfile.import_postings(spark, path)
+
+
+# --- frontier, visits, jobs ----------------------------------------------------------------------------------------
+
+PUSH_SQL = "push AS (SELECT event_id AS seq, 'https://host/' || CAST(user_id AS VARCHAR) || '/' || event_type AS url, CAST(event_id % 3 AS INTEGER) AS depth FROM events)"
+
+
+def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://host/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+    return corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), url.alias("url"), (F.col("event_id") % 3).cast("int").alias("depth"))
+
+
+@query("frontier_ring", f"WITH {PUSH_SQL}, f AS (SELECT min(seq) AS seq, url, arg_min(depth, seq) AS depth FROM push GROUP BY url) SELECT seq, url, depth FROM f ORDER BY seq DESC LIMIT 100")
+def frontier_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.frontier(pushes(spark, sf_dir), 100)
+
+
+@query("frontier_counts", f"WITH {PUSH_SQL}, n AS (SELECT count(DISTINCT url) AS enqueued FROM push) SELECT enqueued, least(enqueued, 100) AS pending, enqueued - least(enqueued, 100) AS dropped, CAST(100 AS BIGINT) AS capacity, CASE WHEN least(enqueued, 100) >= 100 THEN 'Critical (Queue Full)' WHEN least(enqueued, 100) >= 80 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status FROM n")
+def frontier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.frontier_counts(pushes(spark, sf_dir), 100)
+
+
+@query("queue_status_labels", "SELECT user_id, pending, CASE WHEN pending >= 80 THEN 'Critical (Queue Full)' WHEN pending >= 0.8 * 80 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status FROM (SELECT user_id, least(count(*), 80) AS pending FROM events GROUP BY user_id)")
+def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(80).cast("long")).alias("pending"))
+    return rows.withColumn("status", crawl.queue_status(F.col("pending"), F.lit(80)))
+
+
+@query(
+    "ttl_dedup",
+    f"""WITH RECURSIVE v AS (SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS visit, {AT} AS sec FROM events),
+    j AS (SELECT a.visit, a.sec, min(b.sec) AS next FROM v a LEFT JOIN v b ON a.visit = b.visit AND b.sec >= a.sec + 3600 GROUP BY a.visit, a.sec),
+    r AS (SELECT visit, min(sec) AS sec FROM v GROUP BY visit
+          UNION ALL SELECT r.visit, j.next AS sec FROM r JOIN j ON r.visit = j.visit AND r.sec = j.sec WHERE j.next IS NOT NULL)
+    SELECT visit, count(*) AS accepted, min(sec) AS first_at, max(sec) AS last_at FROM r GROUP BY visit""",
+)
+def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = corpora.events(spark, sf_dir).select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("visit"), "at")
+    got = crawl.ttl_accept(visits, "visit", "at")
+    return got.groupBy("visit").agg(F.count(F.lit(1)).alias("accepted"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query("ttl_live_set", f"WITH v AS (SELECT 'https://host/' || CAST(user_id AS VARCHAR) AS url, max({AT}) + 3600 AS expiry FROM events GROUP BY 1), t AS (SELECT max({AT}) - 1800 AS now FROM events) SELECT url, expiry FROM v, t WHERE expiry > now")
+def ttl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpora.events(spark, sf_dir)
+    visited = e.groupBy(F.concat(F.lit("https://host/"), F.col("user_id").cast("string")).alias("url")).agg((F.max("at") + 3600).alias("expiry"))
+    now = e.agg((F.max("at") - 1800).alias("now"))
+    return crawl.live(visited.join(F.broadcast(now)), F.col("now")).select("url", "expiry")
+
+
+@query("job_log_ring", f"SELECT user_id AS job_id, event_id AS seq, event_type AS msg FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")
+def job_log_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = corpora.events(spark, sf_dir).select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("msg"))
+    return state.job_logs(logs).select("job_id", "seq", "msg")
+
+
+@query("history_ring_upsert", "WITH h AS (SELECT user_id AS job_id, min(event_id) AS place, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id) SELECT place, job_id, status FROM h ORDER BY place DESC LIMIT 50")
+def history_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
+    return state.history(rows, 50)
+
+
+EDGE_SQL = "e AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst FROM lineitem), g AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+LEVEL_SQL = f"{EDGE_SQL}, l0 AS (SELECT 's1' AS node), l1 AS (SELECT DISTINCT dst AS node FROM g JOIN l0 ON src = node WHERE dst NOT IN (SELECT node FROM l0)), l2 AS (SELECT DISTINCT dst AS node FROM g JOIN l1 ON src = node WHERE dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)), reached AS (SELECT node, 0 AS depth FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)"
+
+
+def seeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("s1",)], "node string")
+
+
+@query("bfs_crawl", f"WITH {LEVEL_SQL} SELECT node, depth FROM reached")
+def bfs_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.bfs(crawl.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2)
+
+
+@query("bfs_budget", f"WITH {LEVEL_SQL} SELECT node, depth FROM reached ORDER BY depth, node LIMIT 60")
+def bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.bfs(crawl.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2, 60)
+
+
+JOBS_SQL = f"jobs AS (SELECT user_id AS job_id, count(*) AS crawled, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click') AS dropped, min({AT}) AS started_at, CASE WHEN user_id % 2 = 0 THEN max({AT}) END AS ended_at, user_id % 5 = 0 AS paused FROM events GROUP BY user_id)"
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = lambda k: F.count_if(F.col("event_type") == k)
+    rows = corpora.events(spark, sf_dir).groupBy(F.col("user_id").alias("job_id")).agg(F.count(F.lit(1)).alias("crawled"), kind("error").alias("errors"), kind("view").alias("pending"), kind("click").alias("dropped"), F.min("at").alias("started_at"), F.max("at").alias("last"))
+    return rows.withColumn("ended_at", F.when(F.col("job_id") % 2 == 0, F.col("last"))).withColumn("paused", F.col("job_id") % 5 == 0).drop("last")
+
+
+@query("global_metrics", f"WITH {JOBS_SQL} SELECT CAST(sum(crawled) AS BIGINT) AS total_crawled, CAST(sum(errors) AS BIGINT) AS total_errors, CAST(sum(pending) AS BIGINT) AS pending_total, CAST(sum(dropped) AS BIGINT) AS dropped_total, count(*) FILTER (ended_at IS NULL) AS active_jobs, count(*) FILTER (paused) AS paused_jobs, count(*) AS total_jobs FROM jobs")
+def global_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.metrics(jobs(spark, sf_dir))
+
+
+@query("job_speed", f"WITH {JOBS_SQL}, t AS (SELECT max({AT}) AS now FROM events) SELECT job_id, coalesce(ended_at, now) - started_at AS uptime, CASE WHEN coalesce(ended_at, now) - started_at > 0 THEN crawled / (coalesce(ended_at, now) - started_at) ELSE 0.0 END AS speed FROM jobs, t")
+def job_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = corpora.events(spark, sf_dir).agg(F.max("at").alias("now"))
+    rows = jobs(spark, sf_dir).join(F.broadcast(now)).withColumn("uptime", state.uptime(F.col("started_at"), F.col("ended_at"), F.col("now")))
+    return rows.select("job_id", "uptime", state.speed(F.col("crawled"), F.col("uptime")).alias("speed"))
+
+
+@query("job_list_merge", f"WITH {JOBS_SQL}, a AS (SELECT job_id, started_at, true AS is_active FROM jobs WHERE ended_at IS NULL UNION ALL SELECT job_id, started_at, false FROM jobs WHERE job_id % 3 <> 0) SELECT job_id, max(started_at) AS started_at, bool_or(is_active) AS is_active FROM a GROUP BY job_id")
+def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = jobs(spark, sf_dir).select("job_id", "started_at", "ended_at")
+    return state.job_list(j.where("ended_at is null").drop("ended_at"), j.where("job_id % 3 <> 0").drop("ended_at")).select("job_id", "started_at", "is_active")
+
+
+@query("job_status_fallback", f"WITH {JOBS_SQL} SELECT job_id, CASE WHEN ended_at IS NULL THEN 'running' WHEN job_id % 3 <> 0 THEN 'completed' END AS status FROM jobs")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = jobs(spark, sf_dir)
+    live = j.where("ended_at is null").select("job_id", F.lit("running").alias("status"))
+    past = j.where("job_id % 3 <> 0").select("job_id", F.lit("completed").alias("status"), F.col("job_id").alias("place"))
+    return state.job_status(j.select("job_id"), live, past)
+
+
+@query("page_math", "SELECT user_id, total, 20 AS \"limit\", (user_id % 4) * 20 AS \"offset\", greatest(0, least(20, total - (user_id % 4) * 20)) AS shown, CAST(floor((user_id % 4) * 20 / 20) + 1 AS BIGINT) AS page, CAST(greatest(1, ceil(total / 20)) AS BIGINT) AS pages, CASE WHEN total - (user_id % 4) * 20 > 0 THEN (user_id % 4) * 20 + 1 ELSE 0 END AS first, (user_id % 4) * 20 + greatest(0, least(20, total - (user_id % 4) * 20)) AS last, (user_id % 4) * 20 + greatest(0, least(20, total - (user_id % 4) * 20)) < total AS has_next FROM (SELECT user_id, count(*) AS total FROM events GROUP BY user_id)")
+def page_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = rows.withColumn("limit", F.lit(20)).withColumn("offset", (F.col("user_id") % 4) * 20)
+    return search.page_math(rows.withColumn("shown", F.greatest(F.lit(0).cast("long"), F.least(F.lit(20).cast("long"), F.col("total") - F.col("offset")))))
+
+
+# --- streams and extensions ----------------------------------------------------------------------------------------
+
+
+@query("stream_ingest", f"WITH {CONV_CTE}, {POST_CTE} SELECT word, url, origin_url, depth, term_frequency FROM post")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = corpora.table(spark, sf_dir, "conversations").schema
+    place = F.concat(F.lit("conv://"), F.col("conv_id").cast("string"))
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+    corpus = rows.select(F.concat(place, F.lit("/"), F.col("turn").cast("string")).alias("url"), "text", place.alias("origin_url"), F.col("turn").cast("int").alias("depth"))
+    folder = _folder(spark)
+    ingest.index_stream(corpus, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return ingest.read_index(spark, f"{folder}/index")
+
+
+BM25_SQL = f"""WITH {DOCS_CTE}, {POST_CTE}, len AS (SELECT url, sum(term_frequency) AS dl FROM post GROUP BY url), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+df AS (SELECT word, count(*) AS df FROM post WHERE word IN ('the', 'thing') GROUP BY word)
+SELECT post.url, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * term_frequency * 2.2 / (term_frequency + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
+FROM post JOIN df ON post.word = df.word JOIN len ON post.url = len.url, s GROUP BY post.url"""
+
+
+@query("bm25", BM25_SQL)
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: BM25 scores of two words."""
+    post = index.postings(corpora.documents(spark, sf_dir))
+    lens = post.groupBy("url").agg(F.sum("term_frequency").alias("dl"))
+    stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    found = post.where(F.col("word").isin("the", "thing"))
+    df = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rows = found.join(F.broadcast(df), "word").join(lens, "url").join(F.broadcast(stats))
+    tf = F.col("term_frequency")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("url").agg(F.round(F.sum(one), 6).alias("bm25"))
