@@ -236,6 +236,41 @@ def test_similar_texts(spark):
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_similar_texts_at_hot_anchors(spark, monkeypatch):
+    """Over half of all rows are near copies of one text: their anchors are dealt out, compared in blocks, and still one group."""
+    rng = np.random.default_rng(4)
+    base = rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], 400).tolist()
+    near = [" ".join([*base[: 10 + i], f"z{i}", *base[11 + i :]]) for i in range(150)]
+    other = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], 60)) for _ in range(100)]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(near + other)])
+    whole = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    monkeypatch.setattr(simhash, "CELL_ROWS", 7)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == whole == {0, *range(150, 250)}
+    found = {(r.a, r.b) for r in simhash.similar(docs).collect()}
+    assert len(found) < 150 * 149 / 4 and all(a < b < 150 for a, b in found)
+
+
+def test_blocks_of_a_cell():
+    rng = np.random.default_rng(5)
+    heads = rng.integers(0, 1 << 63, (6, 4)).astype(np.uint64)
+    of = rng.integers(0, 6, 5000)
+    f = heads[of] ^ (np.uint64(1) << rng.integers(0, 63, (5000, 4)).astype(np.uint64))
+    none = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+    found, lead, _ = simhash.cell_links(np.arange(5000), f, 20, *none)
+    assert len(lead) == 6 and all(of[a] == of[b] for a, b in found) and len(found) < 10_000
+    root = list(range(5000))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    assert len({top(x) for x in range(5000)}) == 6
+
+
 # --- op3 ---
 
 

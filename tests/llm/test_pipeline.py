@@ -28,3 +28,13 @@ def test_stages_on_an_empty_table(spark):
     docs = read_table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Rows that share an id, null ones too, are not multiplied by each other."""
+    rows = [(None if i % 2 else i % 3, f"text {i} " + "w " * (i % 5), "en", "s", 5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixed(spark, docs, SF)
+    texts = {r[1] for r in rows}
+    per = {r.text: r["count"] for r in out.groupBy("text").count().collect()}
+    assert set(per) <= texts and max(per.values()) <= 2 and out.columns == docs.columns

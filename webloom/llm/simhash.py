@@ -284,13 +284,52 @@ def spanning(f: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
+#: Rows of one anchor that are compared all with each other; beyond them a block of rows meets the leaders of the blocks before it.
+CELL_ROWS = 2000
+#: An anchor is hot if over HOT_SHARE of about HOT_SAMPLE sketches are at it. Its rows are dealt to SALTS cells, whose leaders meet again.
+HOT_SAMPLE, HOT_SHARE, SALTS = 20_000, 1 / 500, 64
+#: The bits of an anchor and its table's number; a cell's number has the salt above them, 0 where the anchor is not hot.
+ANCHOR_BITS = 48
+
+
+def nearest(f: np.ndarray, leaders: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of f how many bits the nearest leader differs in, and which one it is."""
+    best, at = np.full(len(f), 1 << 20), np.zeros(len(f), np.int64)
+    for i in range(0, len(leaders), at_once):
+        d = np.bitwise_count(f[:, None, :] ^ leaders[None, i : i + at_once, :]).sum(axis=2, dtype=np.int64)
+        k = d.argmin(axis=1)
+        least = d[np.arange(len(f)), k]
+        closer = least < best
+        best[closer], at[closer] = least[closer], i + k[closer]
+    return best, at
+
+
+def cell_links(ids: np.ndarray, f: np.ndarray, most: int, lead_ids: np.ndarray, lead_f: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links within a cell, block by block, and its leaders: one row of each group that no earlier leader is near. Each row of a block is linked to its nearest leader so far and by the block's forest, so a group of copies costs a block and a leader, however large it is."""
+    found: list[tuple[int, int]] = []
+    for s in range(0, len(ids), CELL_ROWS):
+        i, g = ids[s : s + CELL_ROWS], f[s : s + CELL_ROWS]
+        root, met = np.arange(len(i)), set()
+        for x, y in spanning(g, most):
+            found.append((int(i[x]), int(i[y])))
+            root[y] = root[x]  # the forest grows from x to y
+        best, at = nearest(g, lead_f)
+        for x in np.flatnonzero(best <= most).tolist():
+            found.append((int(lead_ids[at[x]]), int(i[x])))
+            met.add(int(root[x]))
+        new = [x for x in np.flatnonzero(root == np.arange(len(i))).tolist() if x not in met]
+        lead_ids, lead_f = np.concatenate([lead_ids, i[new]]), np.concatenate([lead_f, g[new]])
+    return found, lead_ids, lead_f
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between ids whose sets of word shingles have at least this Jaccard similarity, enough of them to join each group.
 
     Texts that are 0.8 similar differ in about 39 of a sketch's 256 bits, too many for one covering code to reach, so each of
     `tables` anchor sets, over 37 bits each, sends a sketch to its covering anchor (radius 5, threshold 0). Sketches at one anchor are
     compared with each other; a minimum spanning forest of the near ones goes on, so that copies in a group are no pairs, and its edges are
-    checked on the shingles themselves. Ids are whole numbers; null ids are never linked. A pair at 0.8 exactly meets
+    checked on the shingles themselves. An anchor with over CELL_ROWS rows is taken in blocks (see cell_links), in an order that
+    differs from table to table, and a hot one is dealt to many tasks, whose leaders are compared in a second round. Ids are whole numbers; null ids are never linked. A pair at 0.8 exactly meets
     in 96 tables with a probability of 0.92, at 0.85 of 0.98, at 0.9 of 0.999.
     """
     small_batches(docs.sparkSession)
@@ -307,40 +346,92 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
                 got = np.array([sketch(t, words) for t in text.slice(i, j - i).to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(got[:, k]) for k in range(got.shape[1])]], ["doc_id", *words_of])
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 f = np.stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(MIXES))], axis=1)
                 again = np.repeat(np.arange(len(f)), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors(f.view(np.uint64), tables).ravel()), *[c.take(pa.array(again)) for c in part.columns]], ["anchor", "doc_id", *words_of])
+                cell = anchors(f.view(np.uint64), tables).ravel()
+                if len(hot):
+                    ids = part.column(0).to_numpy(zero_copy_only=False)[again].view(np.uint64)
+                    mixed = (ids ^ cell.view(np.uint64) * np.uint64(MIXES[0])) * np.uint64(MIXES[1])
+                    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(MIXES[2])
+                    cell |= np.where(np.isin(cell, hot), (mixed >> np.uint64(40)).astype(np.int64) % SALTS + 1, 0) << ANCHOR_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *[c.take(pa.array(again)) for c in part.columns]], ["cell", "doc_id", *words_of])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(MIXES)), np.uint64)
-
-        def cells(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        no_ids, no_f = np.zeros(0, np.int64), np.zeros((0, len(MIXES)), np.uint64)
+        key, ids, f = no_ids, no_ids, no_f
+        now, lead_ids, lead_f = -1, no_ids, no_f  # the cell at hand and its leaders so far
+        links: list[tuple[int, int]] = []
+        leaders: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def close() -> None:
+            if now >> ANCHOR_BITS > 0:
+                leaders.append((now & ((1 << ANCHOR_BITS) - 1), lead_ids, lead_f))
+
+        def cells(key: np.ndarray, ids: np.ndarray, f: np.ndarray, goes_on: bool) -> None:
+            nonlocal now, lead_ids, lead_f
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            a, b = [], []
-            for i, n in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), np.diff(cuts)[np.diff(cuts) > 1].tolist(), strict=True):
-                for x, y in spanning(f[i : i + n], most):
-                    a.append(min(ids[i + x], ids[i + y]))
-                    b.append(max(ids[i + x], ids[i + y]))
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
+            some = (np.diff(cuts) > 1) | (key[cuts[:-1]] >> ANCHOR_BITS > 0) | (key[cuts[:-1]] == now)
+            for i, j in zip(cuts[:-1][some].tolist(), cuts[1:][some].tolist(), strict=True):
+                if key[i] != now:
+                    close()
+                    now, lead_ids, lead_f = int(key[i]), no_ids, no_f
+                if goes_on or len(lead_ids) or j - i > CELL_ROWS or now >> ANCHOR_BITS > 0:
+                    found, lead_ids, lead_f = cell_links(ids[i:j], f[i:j], most, lead_ids, lead_f)
+                    links.extend(found)
+                else:
+                    links.extend((int(ids[i + x]), int(ids[i + y])) for x, y in spanning(f[i:j], most))
+
+        def out() -> pa.RecordBatch:
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            no = pa.nulls(len(ends), pa.int64())
+            pairs = [pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), no, no, *[no for _ in MIXES]]
+            cell = np.concatenate([no_ids, *[np.full(len(i), c, np.int64) for c, i, _ in leaders]])
+            lead = np.concatenate([no_ids, *[i for _, i, _ in leaders]])
+            bits = np.concatenate([no_f, *[g for _, _, g in leaders]]).view(np.int64)
+            rest = pa.nulls(len(cell), pa.int64())
+            heads = [rest, rest, pa.array(cell), pa.array(lead), *[pa.array(bits[:, k].copy()) for k in range(len(MIXES))]]
+            links.clear()
+            leaders.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(pairs, heads, strict=True)], ["a", "b", "cell", "doc_id", *words_of])
 
         for r in batches:
             key = np.concatenate([key, r.column(0).to_numpy(zero_copy_only=False)])
             ids = np.concatenate([ids, r.column(1).to_numpy(zero_copy_only=False)])
             f = np.concatenate([f, np.stack([r.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(MIXES))], axis=1).view(np.uint64)])
-            if len(key) >= 20000 and key[0] != key[-1]:  # the last anchor may go on
-                n = int(np.searchsorted(key, key[-1]))
-                yield cells(key[:n], ids[:n], f[:n])
+            if len(key) >= 20000:  # the last cell may go on
+                one = key[0] == key[-1]
+                n = len(key) if one else int(np.flatnonzero(key != key[-1])[-1]) + 1
+                cells(key[:n], ids[:n], f[:n], one)
+                yield out()
                 key, ids, f = key[n:], ids[n:], f[n:]
         if len(key):
-            yield cells(key, ids, f)
-
-    sketches = cut(rows.mapInArrow(tidy(draw), "doc_id long, " + ", ".join(f"{x} long" for x in words_of)))
-    spread = sketches.mapInArrow(tidy(replicate), "anchor long, doc_id long, " + ", ".join(f"{x} long" for x in words_of))
-    near = spread.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(tidy(compare), "a long, b long").where("a <> b")
+            cells(key, ids, f, False)
+        close()
+        yield out()
+
+    bits_schema = "doc_id long, " + ", ".join(f"{x} long" for x in words_of)
+    sketches = cut(rows.mapInArrow(tidy(draw), bits_schema))
+
+    def spread(some: DataFrame, hot: np.ndarray) -> DataFrame:
+        return some.mapInArrow(tidy(lambda batches: replicate(batches, hot)), "cell long, " + bits_schema)
+
+    def compared(cells: DataFrame) -> DataFrame:
+        mixed = F.xxhash64("doc_id", "cell")
+        return cells.repartition("cell").sortWithinPartitions("cell", mixed, "doc_id").mapInArrow(tidy(compare), "a long, b long, cell long, " + bits_schema)
+
+    # at most tables / HOT_SHARE anchors are hot, whatever the size; which ones only says how the work is dealt out
+    share_of = min(1.0, HOT_SAMPLE / max(1, sketches.count()))
+    sample = sketches.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(1 << 30)) < int(share_of * (1 << 30)))
+    n_sample = sample.count()
+    often = spread(sample, np.zeros(0, np.int64)).groupBy("cell").count().where(F.col("count") > max(50, int(HOT_SHARE * n_sample)))
+    hot = np.array(sorted(r[0] for r in often.select("cell").collect()), np.int64)
+    first = cut(compared(spread(sketches, hot)))
+    again = compared(first.where("a is null").select("cell", "doc_id", *words_of))
+    near = first.where("a is not null").select("a", "b").unionByName(again.where("a is not null").select("a", "b")).where("a <> b")
     near = cut(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), few=True)
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
