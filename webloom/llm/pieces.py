@@ -26,6 +26,8 @@ from .common import named, slices, small_batches, tidy
 MARK = "▁"
 #: Words of one of a worker's two tables; the older one goes when the newer is full.
 REMEMBERED = 120_000
+#: Bytes of text at a time; a byte takes about 60 bytes of words and tables.
+SLICE = 1 << 20
 
 
 class Codec:
@@ -226,7 +228,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
         c = codec(model)
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            for i, j in slices(text, 4 << 20):
+            for i, j in slices(text, SLICE):
                 table, texts = c.encode_batch(text.slice(i, j - i).to_pylist())
                 n_ids, spelt, surface = ([x[k] for x in table] for k in range(3))
                 out: list[list] = [[] for _ in names[1:]]
