@@ -21,13 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Merges
-from .common import named, slices, small_batches, tidy
+from .common import SLICE_BYTES, named, slices, small_batches, tidy
 
 MARK = "▁"
 #: Words of one of a worker's two tables; the older one goes when the newer is full.
 REMEMBERED = 120_000
-#: Bytes of text at a time; a byte takes about 60 bytes of words and tables.
-SLICE = 1 << 20
 
 
 class Codec:
@@ -214,12 +212,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return _run(docs, model, id_col, text_col, False)
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() with its arrays and texts only as digests, taken in the worker: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _run(docs, model, id_col, text_col, True)
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """encode() with its arrays and texts only as digests, taken in the worker: doc_id, n_tokens, ids_sha256, decoded_sha256. slice_bytes: text at a time; a byte takes about 60 bytes of a worker's memory, and smaller slices share fewer words."""
+    return _run(docs, model, id_col, text_col, True, slice_bytes)
 
 
-def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
+def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
@@ -228,7 +226,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool)
         c = codec(model)
         for b in batches:
             text = pc.fill_null(b.column(1), "")
-            for i, j in slices(text, SLICE):
+            for i, j in slices(text, slice_bytes):
                 table, texts = c.encode_batch(text.slice(i, j - i).to_pylist())
                 n_ids, spelt, surface = ([x[k] for x in table] for k in range(3))
                 out: list[list] = [[] for _ in names[1:]]
