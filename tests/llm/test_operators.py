@@ -250,6 +250,33 @@ def test_similar_texts_at_hot_anchors(spark, monkeypatch):
     assert len(found) < 150 * 149 / 4 and all(a < b < 150 for a, b in found)
 
 
+def linked(texts, similarity=0.8, words=5):
+    """All pairs at least that similar, by comparing all."""
+    sets = [set(simhash.shingle_hashes(t, words)) for t in texts]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+
+
+def test_template_family_at_hot_anchors(spark, monkeypatch):
+    """Texts of one template at 0.7 of each other hold pairs at 0.9, which fall into different cells and blocks."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 7)
+    template = [f"t{i}" for i in range(700)]
+    family = [[*template, *[f"u{i}x{k}" for k in range(150)]] for i in range(160)]
+    texts = [" ".join(x) for x in family] + [" ".join(f"v{i}x{k}" if k % 90 == 8 else w for k, w in enumerate(x)) for i, x in enumerate(family[:60])]
+    want = linked(texts)
+    assert want == [(i, 160 + i) for i in range(60)]
+    found = {(r.a, r.b) for r in simhash.similar(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert found == set(want)
+
+
+def test_prefix_meets_every_similar_pair():
+    rng = np.random.default_rng(7)
+    common, counts = np.arange(0, 40, 3).astype(np.uint64), rng.integers(5, 90, 14)
+    for _ in range(2000):
+        x, y = (np.unique(rng.integers(0, 40, rng.integers(1, 60))).astype(np.uint64) for _ in "xy")
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            assert len(np.intersect1d(simhash.prefix(x, 0.8, common, counts), simhash.prefix(y, 0.8, common, counts)))
+
+
 def test_blocks_of_a_cell():
     rng = np.random.default_rng(5)
     heads = rng.integers(0, 1 << 63, (6, 4)).astype(np.uint64)
