@@ -250,6 +250,11 @@ def test_similar_texts_at_hot_anchors(spark, monkeypatch):
     assert len(found) < 150 * 149 / 4 and all(a < b < 150 for a, b in found)
 
 
+def roots_of(spark, links):
+    root = by_id(simhash.components(spark.createDataFrame(links, "a long, b long"))) if links else {}
+    return lambda i: root.get(i, (i,))[0]
+
+
 def linked(texts, similarity=0.8, words=5):
     """All pairs at least that similar, by comparing all."""
     sets = [set(simhash.shingle_hashes(t, words)) for t in texts]
@@ -268,6 +273,28 @@ def test_template_family_at_hot_anchors(spark, monkeypatch):
     assert found == set(want)
 
 
+def test_no_link_is_lost(spark):
+    """Short texts, pairs near 0.8 whose nearest texts are below it, and shingles that many texts share: groups as by comparing all pairs."""
+    rng = np.random.default_rng(6)
+    texts: list[str] = []
+    for i in range(60):  # 4 against 5 shingles
+        words = [f"s{i}x{k}" for k in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    common = [f"c{k}" for k in range(60)]
+    for i in range(60):
+        own = [f"l{i}x{k}" for k in range(60)]
+        for changes in (0, 1, 2, 3):
+            t = list(own)
+            for k in rng.choice(60, changes, replace=False):
+                t[k] = f"m{i}x{changes}x{k}"
+            texts.append(" ".join([*common, *t] if i % 2 else t))
+    want = linked(texts)
+    found = [(r.a, r.b) for r in simhash.similar(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()]
+    assert set(found) <= set(want)
+    mine, right = roots_of(spark, found), roots_of(spark, want)
+    assert [mine(i) for i in range(len(texts))] == [right(i) for i in range(len(texts))]
+
+
 def test_prefix_meets_every_similar_pair():
     rng = np.random.default_rng(7)
     common, counts = np.arange(0, 40, 3).astype(np.uint64), rng.integers(5, 90, 14)
