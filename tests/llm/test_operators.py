@@ -497,6 +497,15 @@ def test_main_texts(spark):
     assert wrappers.main_texts(df).count() == len(rows) and wrappers.main_texts(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """Copies, rows that repeat, and pages that differ in attributes only are extracted as one page alone is."""
+    page = "<article{}><h1>Head</h1><p>Story of the day</p></article>"
+    rows = [(i, "http://same/" + str(i), page.format("")) for i in range(6)] + [(9, None, page.format(""))] * 7
+    rows += [(20 + i, "http://marked/" + str(i), page.format(f" title='{i}'")) for i in range(6)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.text for r in got} == {"Head\n\nStory of the day"}
+
+
 def test_simple_tree_matching():
     a, b = (wrappers.page_slot([html_dom.parse(x)], "html") for x in ("<div><p>1</p><ul><li>a</ul></div><hr>", "<div><ul><li>b</ul><p>2</p></div><table></table>"))
     assert wrappers.match_size(a, b) == 4  # html, div, ul, li

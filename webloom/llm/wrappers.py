@@ -15,7 +15,8 @@ Wrappers are folded inside each partition, merged under a salt, then by host, so
 group; its pages meet its wrapper in a join that the engine may split.
 
 Defined results: null html is the empty page and gives an empty text; a null or odd url belongs to the host of no name;
-a host of one page has nothing constant; repeated rows are extracted each; an empty table gives no rows; extra columns
+a host of one page has nothing constant, nor has one whose pages all say the same; repeated rows
+are extracted each and count once for the wrapper; an empty table gives no rows; extra columns
 play no part. Elements nested deeper than 150 count as kids of the 150th.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, named, slices, small_batches, tidy
@@ -59,6 +60,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def host_column(url: Column) -> Column:
+    """host_of as a column."""
+    return F.coalesce(F.lower(F.regexp_extract(F.trim(url), r"^(?i:[a-z][a-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
+
+
 def is_dropped(node: Node) -> bool:
     if node.tag in DROPPED:
         return True
@@ -298,12 +304,13 @@ def extract(page: str, wrapper: Slot | None) -> str:
     if wrapper is not None:
         main = content_slot(wrapper)
         found: list[Node] | None = None
+        varies = _varying(wrapper) > 0  # else all pages say the same, and nothing tells template from content
         stack, enough = [(wrapper, mine)], max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper.n)
         while stack:
             w, s = stack.pop()
             if w is main:
                 found = s.nodes
-            if w is not wrapper and w.digest and w.n >= enough and not _varying(w):
+            if varies and w is not wrapper and w.digest and w.n >= enough and not _varying(w):
                 gone.update(id(n) for n in s.nodes or [])
             stack += aligned(w.kids, s.kids)
         nodes = nodes or found or []
@@ -315,7 +322,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
     """host, wrapper (JSON) of all pages."""
     small_batches(pages.sparkSession)
     rows = pages.select(named(url_col).cast("string").alias("url"), named(html_col).cast("string").alias("html"))
-    part = rows.withColumn("salt", F.spark_partition_id() % salts)
+    # copies of a page say nothing about what is constant: each distinct page of a host counts once
+    once = rows.groupBy(host_column(F.col("url")).alias("host"), F.sha2("html", 256).alias("digest")).agg(F.first("html").alias("html"))
+    part = once.select("host", "html", (F.spark_partition_id() % salts).alias("salt"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Slot] = {}
@@ -326,8 +335,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
             return got
 
         for b in batches:
-            for url, page, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (host_of(url), salt)
+            for host, page, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                key = (host, salt)
                 s = page_slot([parse(page or "")], "html")
                 held[key] = pruned(merged(held[key], s)) if key in held else s
                 if len(held) >= HOSTS:
@@ -351,8 +360,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     small_batches(pages.sparkSession)
     found = cut(wrappers(pages, url_col, html_col), few=True).withColumnRenamed("host", "h")
     rows = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), named(html_col).cast("string").alias("html"))
-    host = F.coalesce(F.lower(F.regexp_extract(F.trim("url"), r"^(?i:[a-z][a-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
-    both = rows.withColumn("host", host).join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
+    both = rows.withColumn("host", host_column(F.col("url"))).join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Slot] = {}
