@@ -349,6 +349,20 @@ def test_quotes(spark):
         assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quotes_of_parts(spark):
+    """A line, a wrapped sentence, and two messages' lines run together."""
+    rows = [
+        (1, 0, "u", "First line here\nsecond line. A sentence\nover two lines. The end."), (1, 1, "a", "> second line. A sentence\nyes"),
+        (1, 2, "u", "> A sentence over\n> two lines.\nindeed"), (1, 3, "a", "> First line here\n> indeed\nboth"), (1, 4, "u", "> nobody said so\nno"),
+        (None, 0, "u", "One. Two three."), (None, 1, "a", "> two three.\nx"), (None, 1, "a", "> two three.\nx"),
+    ]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn): (r.parent, r.n_quotes, r.n_linked) for r in got} == {
+        (1, 0): (None, 0, 0), (1, 1): (0, 1, 1), (1, 2): (0, 1, 1), (1, 3): (2, 1, 1), (1, 4): (None, 1, 0), (None, 0): (None, 0, 0), (None, 1): (0, 2, 2),
+    }
+
+
 # --- op4, op6 ---
 
 

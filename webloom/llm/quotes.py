@@ -3,7 +3,8 @@ r"""Quotation linking of messages, in DataFrame functions only.
 Lines that begin with `>` are quoted; the number of these marks is their level, 0 for a message's own words. Consecutive
 lines of one level, without an empty line between them, are a passage. Passages are normalised (lower case, single
 spaces) and hashed; a quoted passage is joined to the message of its conversation that first said it in its own words, if that
-came before. The message a reply answers is the latest one that its passages of level 1 are joined to (of all levels, if none of
+came before. A passage that no message said as a whole is cut into its lines and sentences, which are joined the same way; it belongs to the
+latest message that these are joined to. The message a reply answers is the latest one that its passages of level 1 are joined to (of all levels, if none of
 level 1 is). Replies follow what they answer: `thread` is the path of turns from the first message of a thread, so that
 sorting by (conv_id, thread) gives the reply order, and `own_text` holds the words without quotes.
 
@@ -58,12 +59,29 @@ def passages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return rows.withColumn("hash", F.when(F.regexp_like(norm, F.lit(r"[\p{L}\p{N}]")), F.sha2(norm, 256)))
 
 
+def _pieces(found: DataFrame) -> DataFrame:
+    """found with the hash of each line and sentence of a passage, once, instead of the passage's."""
+    norm = normalised(F.col("passage"))
+    parts = F.concat(F.transform(F.split("passage", "\n"), normalised), F.split(norm, r"(?<=[.!?\u2026])\s+"))
+    rows = found.withColumn("piece", F.explode(F.array_distinct(parts))).where(F.regexp_like("piece", F.lit(r"[\p{L}\p{N}]")))
+    return rows.withColumn("hash", F.sha2("piece", 256)).drop("piece", "passage")
+
+
+def _first_said(said: DataFrame) -> DataFrame:
+    return said.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")).withColumnsRenamed({"conv_id": "c", "hash": "h"})
+
+
 def links(found: DataFrame) -> DataFrame:
-    """conv_id, turn, nth, level, origin (the turn that first said the passage) of the quoted passages that have one."""
-    said = found.where("level = 0 and hash is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    said = said.withColumnsRenamed({"conv_id": "c", "hash": "h"})
-    quoted = found.where("level > 0 and hash is not null").select("conv_id", "turn", "nth", "level", "hash")
-    return quoted.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("origin") < F.col("turn"))).drop("c", "h", "hash")
+    """conv_id, turn, nth, level, origin (the turn that first said the passage, or the latest of those that first said its lines and sentences) of the quoted passages that have one."""
+    own, quoted = found.where("level = 0 and hash is not null"), found.where("level > 0 and hash is not null")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("origin") < F.col("turn"))
+    whole = quoted.join(_first_said(own), same, "left").drop("c", "h")
+    rest = _pieces(whole.where("origin is null").drop("origin").distinct().withColumn("of", F.col("hash")))
+    met = rest.join(_first_said(_pieces(own)), same).groupBy("conv_id", "turn", "nth", "level", "of").agg(F.max("origin").alias("later"))
+    met = met.withColumnsRenamed({"conv_id": "c", "turn": "t", "nth": "k", "level": "l"})
+    at = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("nth") == F.col("k")) & (F.col("level") == F.col("l")) & (F.col("hash") == F.col("of"))
+    out = whole.join(met, at, "left").withColumn("origin", F.coalesce("origin", "later"))
+    return out.where("origin is not null").select("conv_id", "turn", "nth", "level", "origin")
 
 
 def own_words(text: Column) -> Column:
