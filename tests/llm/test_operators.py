@@ -520,6 +520,15 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert len(got) == len(rows) and {r.text for r in got} == {"Head\n\nStory of the day"}
 
 
+def test_pruning_keeps_what_most_pages_have():
+    """Two pages of over NODES slots in common, and what only some pages have."""
+    long = "<body>" + "".join(f"<h2>part {i}</h2><p>same</p>" for i in range(20)) + "</body>"
+    w = wrappers.wrapper_of([long, long + "<div><p>once</p></div>"])
+    whole = wrappers._count(w)
+    kept = wrappers.pruned(w, 10)
+    assert wrappers._count(kept) == whole - 2 > 40
+
+
 def test_simple_tree_matching():
     a, b = (wrappers.page_slot([html_dom.parse(x)], "html") for x in ("<div><p>1</p><ul><li>a</ul></div><hr>", "<div><ul><li>b</ul><p>2</p></div><table></table>"))
     assert wrappers.match_size(a, b) == 4  # html, div, ul, li

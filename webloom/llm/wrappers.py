@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from .html_dom import INLINE, Node, parse
 
 #: Partial wrappers of a host are merged in so many groups first.
 SALTS = 16
-#: Wrappers that a worker holds at a time, and nodes of one: above that, the nodes on the fewest pages go, which are never template.
+#: Wrappers that a worker holds at a time, and nodes of one: above that, the nodes on the fewest pages go, but none on CONSTANT_SHARE of the pages folded so far.
 HOSTS, NODES = 2000, 3000
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 
@@ -178,10 +179,10 @@ def _count(s: Slot) -> int:
 
 
 def pruned(s: Slot, most: int = NODES) -> Slot:
-    """s, without the nodes on the fewest pages if there are more than `most`."""
-    least = 1
-    while _count(s) > most:
-        least *= 2
+    """s, without the nodes on the fewest pages if there are more than `most`; those on a share of CONSTANT_SHARE of the pages stay, however many."""
+    least, keep = 1, math.ceil(CONSTANT_SHARE * s.n)
+    while _count(s) > most and least < keep:
+        least = min(2 * least, keep)
         _drop(s, least)
     return s
 
