@@ -520,6 +520,17 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert len(got) == len(rows) and {r.text for r in got} == {"Head\n\nStory of the day"}
 
 
+def test_the_wrapper_chooses_the_content():
+    """Articles that mark cards, or a short piece, are not taken for the story that varies elsewhere; one that holds the story is taken whole."""
+    story = [f"story {i} " * 40 for i in range(6)]
+    cards = [f"<div><article><p>card {i}</p></article></div><div class='story'><h1>Head {i}</h1><p>{x}</p></div>" for i, x in enumerate(story)]
+    w = wrappers.wrapper_of(cards)
+    assert [wrappers.extract(p, w) for p in cards] == [f"Head {i}\n\n{x.strip()}" for i, x in enumerate(story)]
+    held = [f"<div><p>news {i}</p></div><article><h1>Head {i}</h1><div><p>{x}</p></div></article>" for i, x in enumerate(story)]
+    w = wrappers.wrapper_of(held)
+    assert [wrappers.extract(p, w) for p in held] == [f"Head {i}\n\n{x.strip()}" for i, x in enumerate(story)]
+
+
 def test_pruning_keeps_what_most_pages_have():
     """Two pages of over NODES slots in common, and what only some pages have."""
     long = "<body>" + "".join(f"<h2>part {i}</h2><p>same</p>" for i in range(20)) + "</body>"

@@ -6,8 +6,9 @@ wrapper: every node with the number of pages it stands on and whether its text i
 nodes are template. Of the varying slots the one that holds most of the host's varying text, outside menus, adverts and
 the like, is where the host keeps its content.
 
-Each page is then aligned with its host's wrapper. Its content is its article or main element, where it has one, else
-the node at the host's content slot; menus, headers, footers, asides, notices, adverts, forms and comments
+Each page is then aligned with its host's wrapper. Its content is the node at the host's content slot; article or main elements
+widen it where they hold it and narrow it where they hold at least half of its text. They are the content themselves where the host has
+one page, or nothing that varies, or the page nothing at the slot. Menus, headers, footers, asides, notices, adverts, forms and comments
 inside go (by element and by the words of class, id and role), and so do nodes that the wrapper calls constant on at least
 nine in ten of five or more pages. What is left is cut into blocks.
 
@@ -314,11 +315,33 @@ def extract(page: str, wrapper: Slot | None) -> str:
             if varies and w is not wrapper and w.digest and w.n >= enough and not _varying(w):
                 gone.update(id(n) for n in s.nodes or [])
             stack += aligned(w.kids, s.kids)
+        if found and wrapper.n > 1 and varies:
+            nodes = chosen(found, nodes, gone)
         nodes = nodes or found or []
     nodes = nodes or content_slot(mine).nodes or []
     return "\n\n".join(blocks(nodes, gone))
 
 
+def chosen(found: list[Node], marked: list[Node], gone: set[int]) -> list[Node]:
+    """The nodes at the host's content slot, or those of the article or main elements that hold them, or that hold at least half of their text."""
+    inside = {id(x) for x in _below(found)}
+    ids = {id(x) for x in found}
+    around = [m for m in marked if any(id(x) in ids for x in _below([m]))]
+    if around:
+        return around
+    within = [m for m in marked if id(m) in inside]
+    size = lambda nodes: sum(map(len, blocks(nodes, gone)))
+    return within if within and 2 * size(within) >= size(found) else found
+
+
+def _below(nodes: list[Node]) -> Iterator[Node]:
+    stack = list(nodes)
+    while stack:
+        n = stack.pop()
+        yield n
+        stack += [k for k in n.kids if not isinstance(k, str)]
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
     """host, wrapper (JSON) of all pages."""
     small_batches(pages.sparkSession)
