@@ -535,18 +535,91 @@ def test_pruning_keeps_what_most_pages_have():
     """Two pages of over NODES slots in common, and what only some pages have."""
     long = "<body>" + "".join(f"<h2>part {i}</h2><p>same</p>" for i in range(20)) + "</body>"
     w = wrappers.wrapper_of([long, long + "<div><p>once</p></div>"])
-    whole = wrappers._count(w)
+    whole = w.count
     kept = wrappers.pruned(w, 10)
-    assert wrappers._count(kept) == whole - 2 > 40
+    assert kept.count == whole - 2 > 40
 
 
 def test_simple_tree_matching():
     a, b = (wrappers.page_slot([html_dom.parse(x)], "html") for x in ("<div><p>1</p><ul><li>a</ul></div><hr>", "<div><ul><li>b</ul><p>2</p></div><table></table>"))
-    assert wrappers.match_size(a, b) == 4  # html, div, ul, li
+    assert wrappers.Matching().size(a, b) == 4  # html, div, ul, li
     both = wrappers.merged(a, b)
     assert both.n == 2 and [k.label for k in both.kids] == ["div", "hr", "table"]
 
 
+def slow_match(a, b):
+    """Simple tree matching by trying, for the first kid of either side, every way on."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), slow_match(x[0], y[0]) + best(x[1:], y[1:]) if x[0].label == y[0].label else 0)
+
+    return 1 + best(a.kids, b.kids)
+
+
+def test_tree_matching_against_brute_force():
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        return wrappers.Slot("abc"[rng.integers(3)], 1, "", 0, [tree(depth - 1) for _ in range(int(rng.integers(4)))] if depth else [])
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        a.put(a.kids), b.put(b.kids)
+        assert wrappers.Matching().size(a, b) == slow_match(a, b)
+        both = wrappers.merged(a, b)
+        assert both.count == a.count + b.count - slow_match(a, b)
+
+
+def test_deep_misaligned_pages_take_no_exponential_time():
+    """Two pages whose kids stand in another order on each of 150 levels."""
+    import time
+
+    one, two = "x", "x"
+    for _ in range(150):
+        one, two = f"<div><p>a</p><div class=k>{one}</div><ul></ul></div>", f"<div><ul></ul><div class=k>{two}</div><p>b</p></div>"
+    began = time.time()
+    w = wrappers.wrapper_of([one, two])
+    assert wrappers.extract(one, w) and wrappers.extract(two, w)
+    assert time.time() - began < 1
+
+
+def test_names_with_other_words_are_kept():
+    page = "<article><p class='social-science'>a</p><div class='comment-free'><p>b</p></div><p class=related-work>c</p><div class=comment-list><p>d</p></div><div class='ad'>e</div><div id=siteNotice>f</div><section role=complementary>g</section></article>"
+    assert wrappers.extract(page, None) == "a\n\nb\n\nc"
+
+
+MENU = "Words of the menu " * 40
+
+
+def test_hosts_of_many_pages_without_article_or_main(spark):
+    """The wrapper alone finds the content and drops what is the same on all pages; taken away, the text changes."""
+    pages = [f"<div><p>{MENU}</p></div><div><h2>Head {i}</h2><p>{('words of page ' + str(i) + ' ') * 20}</p></div><div><p>All rights</p></div>" for i in range(12)]
+    got = wrappers.main_texts(spark.createDataFrame([(i, "http://plain/" + str(i), p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
+    for r in got.collect():
+        assert r.text == f"Head {r.page_id}\n\n" + " ".join(["words of page " + str(r.page_id)] * 20)
+        assert r.text != wrappers.extract(pages[r.page_id], None)
+
+
+def test_wrappers_beyond_their_limit_say_so(spark):
+    rows = [(i, "http://wide/" + str(i), "<body>" + "".join(f"<div class=c{chr(97 + i)}{chr(97 + k)}>x{i}</div>" for k in range(20)) + "<p>same</p></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert wrappers.wrappers(df).first()["n_pruned"] == 0
+    w = wrappers.wrappers(df, nodes=30).first()
+    assert w["n_pruned"] > 0 and '"p"' in w["wrapper"]
+
+
+def test_more_hosts_than_a_worker_holds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "HOSTS", 3)
+    rows = [(i, f"http://h{i % 7}/", f"<div><p>same</p></div><div><p>{'own ' * 30}{i}</p></div>") for i in range(70)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"{'own ' * 30}{i}") for i in range(70)]
+
+
 def test_deep_and_broken_pages():
     assert wrappers.extract("<div>" * 5000 + "x", None) == "x"
     assert wrappers.extract('<p>a<a title="b>c</p><p>d', None).startswith("a")

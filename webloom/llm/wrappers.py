@@ -3,14 +3,14 @@ r"""Main text of web pages by wrapper induction.
 Pages of one host are aligned as trees by simple tree matching: two nodes of one label match, and among their kids the
 order-preserving matching with the most matched nodes is taken (dynamic programming). Folding a host's pages gives its
 wrapper: every node with the number of pages it stands on and whether its text is the same on all of them. Constant
-nodes are template. Of the varying slots the one that holds most of the host's varying text, outside menus, adverts and
+nodes are template. Each pair of nodes is compared once. Of the varying slots the one that holds most of the host's varying text, outside menus, adverts and
 the like, is where the host keeps its content.
 
 Each page is then aligned with its host's wrapper. Its content is the node at the host's content slot; article or main elements
 widen it where they hold it and narrow it where they hold at least half of its text. They are the content themselves where the host has
-one page, or nothing that varies, or the page nothing at the slot. Menus, headers, footers, asides, notices, adverts, forms and comments
-inside go (by element and by the words of class, id and role), and so do nodes that the wrapper calls constant on at least
-nine in ten of five or more pages. What is left is cut into blocks.
+one page, or nothing that varies, or the page nothing at the slot. Nodes that the wrapper calls constant on at least nine in ten of five
+or more pages go. What varies from page to page and still is no article (adverts, reader comments, headers that name the page) goes by
+its element, or by a class, id or role that is such a name as a whole: "comment-list" goes, "social-science" stays. What is left is cut into blocks.
 
 Wrappers are folded inside each partition, merged under a salt, then by host, so that a hot host is never one
 group; its pages meet its wrapper in a join that the engine may split.
@@ -28,6 +28,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -52,9 +53,13 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs toolbar topbar masthead header footer pagination pager share sharing social related recommended recommendations recirc teaser comment comments commentlist "
     "discussion respond reply replies disqus login search skip copyright contentinfo complementary".split()
 )
+#: Words that may stand beside a mark in one name: "site-header", "ad-slot", "comment-list". Any other makes it a name of its own, as in "social-science" or "comment-free" (fixed list).
+BESIDE = frozenset("site page main top bottom left right box block list section wrap wrapper container inner outer area unit slot bar item items group panel row col column primary secondary global".split())
 _MARK = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", re.I)
 CONTAINERS = frozenset("html body div section article main center table tbody tr td details".split())
+#: Siblings of one label that make one slot each, as they lay a page out; all others are items of one slot.
+APART = frozenset("div section article main center table details".split())
 
 
 def host_of(url: str | None) -> str:
@@ -75,17 +80,41 @@ def is_dropped(node: Node) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    words = " ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))
-    return any(w.lower() in MARKS for w in _MARK.findall(words))
+    return _marked(" ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""))))
+
+
+@lru_cache(1 << 14)
+def _marked(names: str) -> bool:
+    """Whether one of these names is made of marks, or of marks and words that stand beside them."""
+    for name in names.split():
+        words = {w.lower() for w in _MARK.findall(name)}
+        if words & MARKS and words <= MARKS | BESIDE:
+            return True
+    return False
 
 
 class Slot:
-    """A node of a wrapper, or of one page (n = 1): label, pages it stands on, digest of its own text or "" where that varies, characters of it, kids; of a page also the nodes."""
+    """A node of a wrapper, or of one page (n = 1): label, pages it stands on, digest of its own text or "" where that varies, characters of it, kids; of a page also the nodes. `shape` stands for the labels of its whole tree."""
 
-    __slots__ = ("label", "n", "digest", "chars", "kids", "nodes")
+    __slots__ = ("label", "n", "digest", "chars", "kids", "nodes", "shape", "count", "_varying")
 
     def __init__(self, label: str, n: int, digest: str, chars: int, kids: list[Slot], nodes: list[Node] | None = None):
-        self.label, self.n, self.digest, self.chars, self.kids, self.nodes = label, n, digest, chars, kids, nodes
+        self.label, self.n, self.digest, self.chars, self.nodes = label, n, digest, chars, nodes
+        self.put(kids)
+
+    def put(self, kids: list[Slot]) -> None:
+        self.kids = kids
+        self.shape = hash((self.label, *[k.shape for k in kids]))
+        self.count = 1 + sum([k.count for k in kids])
+        self._varying = -1
+
+    @property
+    def varying(self) -> int:
+        """Characters of varying text in and below, menus and the like aside."""
+        if self._varying < 0:
+            own = self.chars if not self.digest or self.n == 1 else 0
+            self._varying = own + sum([k.varying for k in self.kids if not _is_mark(k.label)])
+        return self._varying
 
     def plain(self) -> list:
         return [self.label, self.n, self.digest, self.chars, [k.plain() for k in self.kids]]
@@ -96,7 +125,7 @@ class Slot:
 
 
 def page_slot(nodes: list[Node], label: str) -> Slot:
-    """Siblings of one label as one slot. Inline elements are text of the block around them; script, style and the like play no part."""
+    """Nodes of one label as one slot. Neighbours of one label below them make one slot too, but for those that lay a page out. Inline elements are text of the block around them; script, style and the like play no part."""
     text: list[str] = []
     kids: list[tuple[str, Node]] = []
     for n in nodes:
@@ -111,7 +140,7 @@ def page_slot(nodes: list[Node], label: str) -> Slot:
                 kids.append((k.label, k))
     groups: list[tuple[str, list[Node]]] = []
     for name, k in kids:
-        if groups and groups[-1][0] == name:
+        if groups and groups[-1][0] == name and k.tag not in APART:
             groups[-1][1].append(k)
         else:
             groups.append((name, [k]))
@@ -120,43 +149,73 @@ def page_slot(nodes: list[Node], label: str) -> Slot:
     return Slot(label, 1, digest, len(own), [page_slot(g, name) for name, g in groups], nodes)
 
 
-def match_size(a: Slot, b: Slot) -> int:
-    """Simple tree matching: how many pairs of nodes match."""
-    if a.label != b.label:
-        return 0
-    return 1 + sum(match_size(x, y) for x, y in aligned(a.kids, b.kids))
-
-
-def aligned(a: list[Slot], b: list[Slot]) -> list[tuple[Slot, Slot]]:
-    """The order-preserving matching of two lists of kids with the most matched nodes."""
-    if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
-        return list(zip(a, b, strict=True))
-    head = 0
-    while head < min(len(a), len(b)) and a[head].label == b[head].label and [x.label for x in a].count(a[head].label) == 1 == [y.label for y in b].count(b[head].label):
-        head += 1
-    first, a, b = list(zip(a[:head], b[:head], strict=True)), a[head:], b[head:]
-    if not a or not b or not {x.label for x in a} & {y.label for y in b}:
-        return first
-    size = [[match_size(x, y) if x.label == y.label else 0 for y in b] for x in a]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size[i][j] if size[i][j] else 0)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-    return first + out[::-1]
-
-
-def merged(a: Slot, b: Slot) -> Slot:
+def same(a: Slot, b: Slot) -> bool:
+    """Whether two trees have the same labels throughout."""
+    return a.shape == b.shape and a.count == b.count
+
+
+class Matching:
+    """Simple tree matching of two trees. Each pair of nodes is compared once, so the work is bounded by the product of their sizes, however deep they are."""
+
+    def __init__(self) -> None:
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.kids: dict[tuple[int, int], list[tuple[Slot, Slot]]] = {}
+
+    def size(self, a: Slot, b: Slot) -> int:
+        """How many pairs of nodes match."""
+        if a.label != b.label:
+            return 0
+        if same(a, b):
+            return a.count
+        key = (id(a), id(b))
+        if key not in self.sizes:
+            self.sizes[key] = 1 + sum([self.size(x, y) for x, y in self.aligned(a, b)])
+        return self.sizes[key]
+
+    def aligned(self, a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
+        """The order-preserving matching of the kids of a and b with the most matched nodes."""
+        key = (id(a), id(b))
+        if key not in self.kids:
+            self.kids[key] = self._align(a.kids, b.kids)
+        return self.kids[key]
+
+    def _align(self, a: list[Slot], b: list[Slot]) -> list[tuple[Slot, Slot]]:
+        if len(a) == len(b) == len({x.label for x in a}) and all([x.label == y.label for x, y in zip(a, b, strict=True)]):
+            return list(zip(a, b, strict=True))
+        # nothing matches more of a tree than its equal, so equal trees at either end belong together
+        head, most = 0, min(len(a), len(b))
+        while head < most and same(a[head], b[head]):
+            head += 1
+        tail = 0
+        while tail < most - head and same(a[-1 - tail], b[-1 - tail]):
+            tail += 1
+        first, last = list(zip(a[:head], b[:head], strict=True)), list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True))
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+        common = {x.label for x in a} & {y.label for y in b}
+        a, b = [x for x in a if x.label in common], [y for y in b if y.label in common]
+        if not a or not b:
+            return first + last
+        size = [[self.size(x, y) for y in b] for x in a]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size[i][j] if size[i][j] else 0)
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((a[i], b[j]))
+        return first + out[::-1] + last
+
+
+def merged(a: Slot, b: Slot, matching: Matching | None = None) -> Slot:
     """Two wrappers as one: matched nodes become one, others stay in order."""
-    pairs = {id(x): y for x, y in aligned(a.kids, b.kids)}
+    matching = matching or Matching()
+    pairs = {id(x): y for x, y in matching.aligned(a, b)}
     taken = {id(y) for y in pairs.values()}
     kids: list[Slot] = []
     rest = iter(b.kids)
@@ -170,46 +229,38 @@ def merged(a: Slot, b: Slot) -> Slot:
                 break
             if id(z) not in taken:
                 kids.append(z)
-        kids.append(merged(x, y))
+        kids.append(merged(x, y, matching))
     kids += [z for z in rest if id(z) not in taken]
     return Slot(a.label, a.n + b.n, a.digest if a.digest == b.digest else "", a.chars + b.chars, kids)
 
 
-def _count(s: Slot) -> int:
-    return 1 + sum(map(_count, s.kids))
-
-
 def pruned(s: Slot, most: int = NODES) -> Slot:
     """s, without the nodes on the fewest pages if there are more than `most`; those on a share of CONSTANT_SHARE of the pages stay, however many."""
     least, keep = 1, math.ceil(CONSTANT_SHARE * s.n)
-    while _count(s) > most and least < keep:
+    while s.count > most and least < keep:
         least = min(2 * least, keep)
         _drop(s, least)
     return s
 
 
 def _drop(s: Slot, least: int) -> None:
-    s.kids = [k for k in s.kids if k.n >= least]
-    for k in s.kids:
+    kids = [k for k in s.kids if k.n >= least]
+    for k in kids:
         _drop(k, least)
+    s.put(kids)
 
 
-def _varying(s: Slot) -> int:
-    """Characters of varying text in and below a slot, menus and the like aside."""
-    return (s.chars if not s.digest or s.n == 1 else 0) + sum(_varying(k) for k in s.kids if not _is_mark(k.label))
-
-
+@lru_cache(1 << 14)
 def _is_mark(label: str) -> bool:
     tag, _, names = label.partition(".")
-    return tag in DROPPED or any(w.lower() in MARKS for w in _MARK.findall(names))
+    return tag in DROPPED or _marked(names.replace("#", " "))
 
 
 def content_slot(s: Slot) -> Slot:
     """From the root down while one container holds over 6 tenths of the varying text."""
     while True:
-        whole = _varying(s)
-        best = max((k for k in s.kids if not _is_mark(k.label)), key=_varying, default=None)
-        if best is None or best.label.partition(".")[0] not in CONTAINERS or _varying(best) * 10 <= whole * 6:
+        best = max([k for k in s.kids if not _is_mark(k.label)], key=lambda k: k.varying, default=None)
+        if best is None or best.label.partition(".")[0] not in CONTAINERS or best.varying * 10 <= s.varying * 6:
             return s
         s = best
 
@@ -306,15 +357,16 @@ def extract(page: str, wrapper: Slot | None) -> str:
     if wrapper is not None:
         main = content_slot(wrapper)
         found: list[Node] | None = None
-        varies = _varying(wrapper) > 0  # else all pages say the same, and nothing tells template from content
+        varies = wrapper.varying > 0  # else all pages say the same, and nothing tells template from content
+        matching = Matching()
         stack, enough = [(wrapper, mine)], max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper.n)
         while stack:
             w, s = stack.pop()
             if w is main:
                 found = s.nodes
-            if varies and w is not wrapper and w.digest and w.n >= enough and not _varying(w):
+            if varies and w is not wrapper and w.digest and w.n >= enough and not w.varying:
                 gone.update(id(n) for n in s.nodes or [])
-            stack += aligned(w.kids, s.kids)
+            stack += matching.aligned(w, s)
         if found and wrapper.n > 1 and varies:
             nodes = chosen(found, nodes, gone)
         nodes = nodes or found or []
@@ -342,8 +394,8 @@ def _below(nodes: list[Node]) -> Iterator[Node]:
         stack += [k for k in n.kids if not isinstance(k, str)]
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
-    """host, wrapper (JSON) of all pages."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = SALTS, nodes: int = NODES) -> DataFrame:
+    """host, wrapper (JSON) of all pages, n_pruned (nodes that went because a wrapper had more than `nodes`; 0 where it is whole)."""
     small_batches(pages.sparkSession)
     rows = pages.select(named(url_col).cast("string").alias("url"), named(html_col).cast("string").alias("html"))
     # copies of a page say nothing about what is constant: each distinct page of a host counts once
@@ -352,37 +404,47 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Slot] = {}
+        lost: dict[tuple[str, int], int] = {}
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array([json.dumps(s.plain()) for s in held.values()], pa.string())], ["host", "salt", "wrapper"])
+            columns = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array([json.dumps(s.plain()) for s in held.values()], pa.string()), pa.array([lost.get(k, 0) for k in held], pa.int64())]
             held.clear()
-            return got
+            lost.clear()
+            return pa.RecordBatch.from_arrays(columns, ["host", "salt", "wrapper", "n_pruned"])
 
         for b in batches:
             for host, page, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 key = (host, salt)
                 s = page_slot([parse(page or "")], "html")
-                held[key] = pruned(merged(held[key], s)) if key in held else s
+                if key in held:
+                    s = merged(held[key], s)
+                    if s.count > nodes:
+                        before = s.count
+                        lost[key] = lost.get(key, 0) + before - pruned(s, nodes).count
+                held[key] = s
                 if len(held) >= HOSTS:
                     yield out()
         yield out()
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = None
+        found, lost = None, int(group["n_pruned"].sum())
         for text in sorted(group["wrapper"]):
             s = Slot.of(json.loads(text))
-            found = s if found is None else pruned(merged(found, s))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found.plain())]})
+            found = s if found is None else merged(found, s)
+            before = found.count
+            lost += before - pruned(found, nodes).count
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found.plain())], "n_pruned": [lost]})
 
-    partial = part.mapInArrow(tidy(fold), "host string, salt int, wrapper string")
-    salted = partial.groupBy("host", "salt").applyInPandas(join, "host string, wrapper string")
-    return salted.groupBy("host").applyInPandas(join, "host string, wrapper string")
+    kept = "wrapper string, n_pruned long"
+    partial = part.mapInArrow(tidy(fold), f"host string, salt int, {kept}")
+    salted = partial.groupBy("host", "salt").applyInPandas(join, f"host string, {kept}")
+    return salted.groupBy("host").applyInPandas(join, f"host string, {kept}")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each input row: page_id, url, text (blocks joined by an empty line)."""
     small_batches(pages.sparkSession)
-    found = cut(wrappers(pages, url_col, html_col), few=True).withColumnRenamed("host", "h")
+    found = cut(wrappers(pages, url_col, html_col), few=True).drop("n_pruned").withColumnRenamed("host", "h")
     rows = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), named(html_col).cast("string").alias("html"))
     both = rows.withColumn("host", host_column(F.col("url"))).join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
 
