@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, html_dom, mixing, pieces, quality, quotes, simhash, suffix_dedup, token_counts, webp, wrappers
+from webloom.llm import exact_dedup, html_dom, mixing, passages, pieces, quality, quotes, simhash, suffix_dedup, token_counts, webp, wrappers
 from webloom.llm.queries import tokenizer_file
 
 WORDS, PIECES = tokenizer_file("word_bpe_49k.json"), tokenizer_file("piece_bpe_32k.model")
@@ -485,6 +485,53 @@ def test_repeats(spark, monkeypatch, keep_first, buffer):
     assert suffix_dedup.digests(empty(spark)).count() == 0
 
 
+def slow_passages(rows, n):
+    """Words in windows of n words that stand in another document; rows with one id and text are one document."""
+    docs = {(d, t or "") for d, t in rows}
+    where = collections.defaultdict(set)
+    words = {k: k[1].encode().split() for k in docs}
+    for k, w in words.items():
+        for i in range(len(w) - n + 1):
+            where[tuple(w[i : i + n])].add(k)
+    return {k: len({x for i in range(len(w) - n + 1) if len(where[tuple(w[i : i + n])]) > 1 for x in range(i, i + n)}) for k, w in words.items()}
+
+
+@pytest.mark.parametrize("part", [1 << 20, 30])
+def test_passages(spark, monkeypatch, part):
+    """Against brute force: copies, passages at edges and inside, repeats within one document, other white space, hot passages, null and empty texts."""
+    monkeypatch.setattr(passages, "PART", part)
+    rng = np.random.default_rng(5)
+    base = [rng.choice(list("abcdefgh"), n).tolist() for n in (14, 40, 90)]
+    rows = []
+    for i in range(80):
+        text = []
+        for _ in range(int(rng.integers(4))):
+            b = base[rng.integers(3)][int(rng.integers(30)) :][: int(rng.integers(60))]
+            text += b + [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(15)))]
+        rows.append((i, (" " if i % 3 else " \t\n").join(text)))
+    own = " ".join(f"x{k}" for k in range(20))
+    rows += [(90, None), (91, ""), (92, f"{own} . {own}"), (93, rows[3][1]), (94, rows[3][1]), (94, rows[3][1]), (95, " ".join(base[1])), (96, "é " * 11), (97, "é\u00a0" * 11)]
+    keyed = suffix_dedup._keyed(table(spark, [(i, t, "s") for i, t in rows]), "doc_id", "text")
+    got = collections.defaultdict(set)
+    for r in passages.shared_words(keyed, 10, 3).collect():
+        got[r.doc_id] |= set(range(r.s, r.e))
+    want = {d: n for (d, _), n in slow_passages(rows, 10).items()}
+    assert {d: len(x) for d, x in got.items()} == {d: n for d, n in want.items() if n}
+    assert want[95] == 40 and want[92] == 0
+    out = by_id(suffix_dedup.digests(table(spark, [(i, t, "s") for i, t in rows]), 64, False, 16, passage_words=10))
+    assert {d: x[4] for d, x in out.items()} == want and {d: x[:4] for d, x in out.items()} == by_id(suffix_dedup.digests(table(spark, [(i, t, "s") for i, t in rows]), 64, False, 16))
+    assert suffix_dedup.digests(empty(spark), passage_words=51).count() == 0
+
+
+def test_repeats_across_the_parts_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 300)
+    rng = np.random.default_rng(11)
+    line = "".join(rng.choice(list("abcdef"), 250))
+    rows = [(0, "".join(rng.choice(list("uvwxyz"), 900)) + line + "-" * 20), (1, line + "".join(rng.choice(list("uvwxyz"), 500)) + line[30:]), (2, "q" * 700)]
+    got = by_id(suffix_dedup.digests(table(spark, [(i, t, "s") for i, t in rows]), 64, False, 16))
+    assert got == slow_repeats(rows, 64, False)
+
+
 def test_longest_previous_factors():
     data = np.frombuffer(b"abracadabra" * 3 + bytes(range(20)) * 2, np.uint8)
     length, source = suffix_dedup.longest_matches(data, 9)

@@ -51,7 +51,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+    """n_passage_words follows the contract's columns: words in passages of over 50 words that another document has too, shorter than 400 bytes or not."""
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"), passage_words=51)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

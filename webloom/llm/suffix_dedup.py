@@ -7,7 +7,7 @@ longest later match. Bytes covered by a string of `min_bytes` with such a match
 
 One suffix array over a large corpus would move every suffix. Instead every window of min_bytes bytes names an anchor, its
 leftmost gram of least hash, which depends on its bytes alone, so equal windows have equal anchors at equal offsets.
-Neighbouring windows with one anchor form a run (about one for 140 bytes). Runs equal as a whole are
+Neighbouring windows with one anchor form a run (about one for 140 bytes). Runs equal as a whole, by a digest of all their bytes, are
 counted first, which makes one class of any number of copies; only anchors that have several different classes need the
 suffix array, built over one representative of each class, for as many anchors at a time as a buffer holds. Anchors whose classes
 exceed the buffer (a hot passage in ever new surroundings) are dealt out window by window instead, by a digest of the whole
@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, slices, small_batches, tidy
+from .common import cut, maybe_in, named, slices, small_batches, tidy
+from .passages import shared_words
 
 MIN_BYTES, GRAM = 400, 128
 #: Bytes of representatives in one suffix array; anchors with more take the way by windows.
@@ -64,10 +65,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of documents data[starts:ends], none longer than the positions hold: document, first window (in data), windows, offset of the anchor, anchor hash, run hash."""
+    """Of documents data[starts:ends], none longer than the positions hold: document, first window (in data), windows, offset of the anchor, anchor hash, and the two halves of a digest of the run's bytes."""
     width = min_bytes - gram + 1
     if len(data) < min_bytes:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64))
     h = gram_hashes(data, gram)
     low = (np.uint64(1) << POSITION_BITS) - np.uint64(1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -85,22 +86,16 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: i
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     anchor = p[a].astype(np.int64)
     end = b + min_bytes
-    run = ((end - a).astype(np.uint64) * ODD[2]) ^ ((anchor - a).astype(np.uint64) * ODD[3])
-    for j in range((2 * min_bytes - gram) // gram + 1):  # blocks that cover the run, the last ones at its end
-        run = (run ^ h[np.minimum(a + j * gram, end - gram)]) * ODD[4]
-        run ^= run >> np.uint64(32)
-    return doc[a].astype(np.int64), a, b - a + 1, anchor - a, h[anchor], run
+    r1, r2 = digest_halves(data, a, end)
+    return doc[a].astype(np.int64), a, b - a + 1, anchor - a, h[anchor], r1, r2
 
 
-def window_digests(data: np.ndarray, min_bytes: int) -> np.ndarray:
-    """Two independent 64-bit hashes of each window of min_bytes, as rows."""
-    out = []
-    for salt in (np.uint8(0), np.uint8(0x5A)):
-        size = 1 << (min_bytes.bit_length() - 1)
-        h = gram_hashes(data ^ salt, size)
-        n = len(data) - min_bytes + 1
-        out.append((h[:n] * ODD[5]) ^ (h[min_bytes - size : min_bytes - size + n] * ODD[6] + ODD[7]))
-    return np.stack(out, axis=1)
+def digest_halves(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of 128 bits of each range of bytes, as two longs: equality of ranges rests on a cryptographic digest of all their bytes."""
+    view = memoryview(data)
+    got = b"".join([hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(got, np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 class Suffixes:
@@ -227,8 +222,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(keyed: DataFrame, min_bytes: int, gram: int) -> DataFrame:
-    """doc_id, th, a (first window), nw (windows), off (of the anchor in the run), ah, rh."""
-    names = ["doc_id", "th", "a", "nw", "off", "ah", "rh"]
+    """doc_id, th, a (first window), nw (windows), off (of the anchor in the run), ah, r1 and r2 (a digest of the run)."""
+    names = ["doc_id", "th", "a", "nw", "off", "ah", "r1", "r2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,19 +244,20 @@ def runs(keyed: DataFrame, min_bytes: int, gram: int) -> DataFrame:
                     some = pieces[k:after]
                     lens = np.fromiter(map(len, some), np.int64, len(some))
                     ends = np.cumsum(lens)
-                    d, a, nw, off, ah, rh = runs_of(np.frombuffer(b"".join(some), np.uint8), ends - lens, ends, min_bytes, gram)
+                    d, a, nw, off, ah, r1, r2 = runs_of(np.frombuffer(b"".join(some), np.uint8), ends - lens, ends, min_bytes, gram)
                     of = pa.array(np.array(row[k:after], np.int64)[d] + i)
                     begin = a - (ends - lens)[d] + np.array(base[k:after], np.int64)[d]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(begin), pa.array(nw.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ah.view(np.int64)), pa.array(rh.view(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(begin), pa.array(nw.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(ah.view(np.int64)), pa.array(r1), pa.array(r2)], names)
 
-    return keyed.mapInArrow(tidy(run), f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, a long, nw int, off int, ah long, rh long")
+    return keyed.mapInArrow(tidy(run), f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, a long, nw int, off int, ah long, r1 long, r2 long")
 
 
 def _segments(keyed: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
     """wanted(doc_id, th, a, nw, off, ah, big) with the bytes of each run."""
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "nw", "off", "ah", "big")).alias("w"))  # at most a document's own runs
     lists = lists.withColumnsRenamed({"doc_id": "d", "th": "t"})
-    both = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "w")
+    lists = cut(lists, few=True)
+    both = maybe_in(keyed, F.col("th"), lists.select("t")).join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "w")
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,10 +333,11 @@ def _by_windows(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataFr
         for b in batches:
             for k in range(b.num_rows):
                 data = np.frombuffer(b.column(3)[k].as_buffer(), np.uint8)
-                w = window_digests(data, min_bytes)
-                n = len(w)
+                n = len(data) - min_bytes + 1
+                at = np.arange(n)
+                w1, w2 = digest_halves(data, at, at + min_bytes)
                 again = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(np.arange(n) + b.column(2)[k].as_py()), pa.array(w[:, 0].view(np.int64)), pa.array(w[:, 1].view(np.int64))], ["doc_id", "th", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(at + b.column(2)[k].as_py()), pa.array(w1), pa.array(w2)], ["doc_id", "th", "s", "w1", "w2"])
 
     windows = segments.select("doc_id", "th", "a", "seg").mapInArrow(tidy(run), f"doc_id {kind}, th long, s long, w1 long, w2 long")
     counts = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "s")).alias("first")).where("n > 1")
@@ -361,19 +358,19 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     one = F.struct("doc_id", "th", "a", "nw", "off")
     parts = ("doc_id", "th", "a", "nw", "off")
     if keep_first:
-        classes = found.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+        classes = found.groupBy("ah", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
     else:  # any one of a class will do; all parts come from the same row, and fixed-width buffers are hashed
-        classes = found.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in parts]).select("ah", "rh", "n", F.struct(*parts).alias("one"))
+        classes = found.groupBy("ah", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in parts]).select("ah", "r1", "r2", "n", F.struct(*parts).alias("one"))
     classes = cut(classes, few=True)
-    copied = classes.where("n > 1").select(F.col("ah").alias("ah2"), F.col("rh").alias("rh2"), "one")
-    whole = found.join(copied, (F.col("ah") == F.col("ah2")) & (F.col("rh") == F.col("rh2")))
+    copied = classes.where("n > 1").select(F.col("ah").alias("ah2"), F.col("r1").alias("x1"), F.col("r2").alias("x2"), "one")
+    whole = found.join(copied, (F.col("ah") == F.col("ah2")) & (F.col("r1") == F.col("x1")) & (F.col("r2") == F.col("x2")))
     if keep_first:
         whole = whole.where(~one.eqNullSafe(F.col("one")))
     spans = whole.select("doc_id", "th", F.col("a").alias("s"), (F.col("a") + F.col("nw") - 1 + min_bytes).alias("e"))
     several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("one.nw") + min_bytes).alias("bytes")).where("k > 1")
     several = several.select(F.col("ah").alias("ah2"), (F.col("bytes") > BUFFER).alias("big"))
     wanted = classes.join(several, F.col("ah") == F.col("ah2")).select("one.*", "ah", "big")
-    segments = cut(_segments(keyed, wanted, min_bytes), few=True)
+    segments = cut(_segments(keyed, wanted, min_bytes))
     spans = spans.unionByName(_by_suffixes(segments.where(~F.col("big")), min_bytes, keep_first))
     return spans.unionByName(_by_windows(segments.where("big"), min_bytes, keep_first))
 
@@ -383,36 +380,41 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: boo
     return _result(docs, min_bytes, keep_first, gram, id_col, text_col, False)
 
 
-def digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """without_repeats() with kept only as kept_sha256."""
-    return _result(docs, min_bytes, keep_first, gram, id_col, text_col, True)
+def digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
+    """without_repeats() with kept only as kept_sha256. With passage_words also n_passage_words: the document's words that lie in strings of so many words which another document has too (see passages), whatever their bytes."""
+    return _result(docs, min_bytes, keep_first, gram, id_col, text_col, True, passage_words)
 
 
-def _result(docs: DataFrame, min_bytes: int, keep_first: bool, gram: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
+def _result(docs: DataFrame, min_bytes: int, keep_first: bool, gram: int, id_col: str, text_col: str, digest: bool, passage_words: int | None = None) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs, min_bytes, keep_first, gram, id_col, text_col)
-    lists = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one document
+    spans = repeated_spans(docs, min_bytes, keep_first, gram, id_col, text_col).select("*", F.lit(True).alias("bytes"))
+    if passage_words:
+        spans = spans.unionByName(shared_words(keyed, passage_words).select("*", F.lit(False).alias("bytes")))
+    lists = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "bytes")).alias("spans"))  # of one document
     lists = cut(lists.withColumnsRenamed({"doc_id": "d", "th": "t"}), few=True)
     both = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"] + ["n_passage_words"] * bool(passage_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for k, raw in enumerate(pc.cast(b.column(1), pa.binary()).to_pylist()):
-                kept, removed, n = raw, 0, 0
+                kept, removed, n, shared = raw, 0, 0, 0
                 if b.column(2)[k].is_valid:
-                    w = b.column(2).slice(k, 1).flatten().flatten()
-                    s, e = merge_spans(*(x.to_numpy(zero_copy_only=False) for x in w))
+                    starts, ends, of_bytes = (x.to_numpy(zero_copy_only=False) for x in b.column(2).slice(k, 1).flatten().flatten())
+                    s, e = merge_spans(starts[~of_bytes], ends[~of_bytes])
+                    shared = int((e - s).sum())
+                    s, e = merge_spans(starts[of_bytes], ends[of_bytes])
                     keep = np.ones(len(raw) + 1, np.int8)
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
                         keep[x:y] = 0
                     kept = np.frombuffer(raw, np.uint8)[keep[:-1] == 1].tobytes()
                     removed, n = len(raw) - len(kept), len(s)
-                for x, v in zip(out, (len(raw), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept), strict=True):
+                for x, v in zip(out, (len(raw), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept, shared), strict=True):
                     x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.int64()]
+            columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns][: len(names)], names)
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digest else 'binary'}")
+    return both.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {names[4]} {'string' if digest else 'binary'}" + ", n_passage_words long" * bool(passage_words))
