@@ -334,15 +334,14 @@ def test_quotes(spark):
         (1, 3, "a", "> unknown\nok"), (2, 0, "u", None), (2, 1, "a", "> Hello there.\nx"), (None, 0, "u", "abc"), (None, 1, "a", "> abc\ny"), (3, None, "u", "> abc"), (4, 0, "u", "!!!"), (4, 1, "a", "> !!!"),
         (5, 0, "x", "q"), (5, 0, "x", "q"), (5, 1, "y", "> q\nr"),
     ]
-    df = spark.createDataFrame([(*r, "c", 7) for r in rows], "conv_id long, turn long, role string, text string, parent string, thread int")
-    got = [tuple(r) for r in quotes.conversations(df).orderBy("conv_id", "thread").collect()]
+    df = spark.createDataFrame([(*r, "c", 7) for r in rows], "conv_id long, turn long, role string, text string, parent string, rank int")
+    got = [tuple(r) for r in quotes.conversations(df).orderBy("conv_id", "root", "rank").collect()]
     assert len(got) == len(rows)
     of = {(r[0], r[1]): r for r in got}
-    z = lambda *t: "/".join(f"{x:012d}" for x in t)
-    assert of[1, 1][3:] == (0, z(0, 1), 1, 2, 2, "Hi! Reply.\nmore")
-    assert of[1, 2][3:] == (1, z(0, 1, 2), 2, 2, 2, "Thanks")
-    assert of[1, 3][3:] == (None, z(3), 0, 1, 0, "ok") and of[2, 1][3] is None and of[4, 1][3] is None
-    assert of[None, 1][3] == 0 and of[5, 1][3:5] == (0, z(0, 1)) and of[2, 0][-1] == ""
+    assert of[1, 1][3:] == (0, 0, 1, 1, 2, 2, "Hi! Reply.\nmore")
+    assert of[1, 2][3:] == (1, 0, 2, 2, 2, 2, "Thanks")
+    assert of[1, 3][3:] == (None, 3, 0, 0, 1, 0, "ok") and of[2, 1][3] is None and of[4, 1][3] is None
+    assert of[None, 1][3] == 0 and of[5, 1][3:7] == (0, 0, 1, 1) and of[2, 0][-1] == "" and of[3, None][3:7] == (None, None, 0, 0)
     assert quotes.conversations(df.limit(0)).count() == 0
     for name in ("passages", "conversations"):
         plan = getattr(quotes, name)(df)._jdf.queryExecution().toString()
@@ -363,6 +362,99 @@ def test_quotes_of_parts(spark):
     }
 
 
+def slow_threads(rows):
+    """By the docstring's rules, message by message: {(conv, turn): (parent, root, depth, rank, n_quotes, n_linked)} of rows (conv, turn, text) with distinct turns."""
+    norm = lambda t: " ".join(t.lower().split())
+    said, cut_up, parts = {}, {}, {}
+
+    def bits(p):
+        return {norm(x) for x in p.split("\n")} | {x for x in re.split(r"(?<=[.!?\u2026])\s+", norm(p))}
+
+    for c, t, text in sorted(rows, key=lambda r: r[1]):
+        now, before = [], None
+        for line in re.split(r"\r\n?|\n", text or ""):
+            m = re.match(r"(?:[ \t]{0,3}>)+", line)
+            body, level = (re.sub(r"^[ \t]", "", line[m.end() :]), m[0].count(">")) if m else (line, 0)
+            if not body.strip(" \t"):
+                before = None
+            elif level == before:
+                now[-1][1] += "\n" + body
+            else:
+                now.append([level, body])
+                before = level
+        parts[c, t] = now
+        for level, p in now:
+            if not level and re.search(r"\w", p):
+                said.setdefault((c, norm(p)), t)
+                for x in bits(p):
+                    cut_up.setdefault((c, x), t)
+    parent, out, linked = {}, {}, {}
+    for (c, t), now in parts.items():
+        found = []
+        for level, p in now:
+            if level and re.search(r"\w", p):
+                at = said.get((c, norm(p)), t)
+                if at >= t:
+                    at = max((o for x in bits(p) if re.search(r"\w", x) and (o := cut_up.get((c, x), t)) < t), default=t)
+                if at < t:
+                    found.append((level, at))
+        ones = [o for level, o in found if level == 1]
+        parent[c, t] = max(ones or [o for _, o in found], default=None)
+        linked[c, t] = len(found)
+    kids = collections.defaultdict(list)
+    for (c, t), p in sorted(parent.items(), key=lambda x: x[0][1]):
+        kids[c, p].append(t)
+
+    def walk(c, t, root, depth, rank):
+        out[c, t] = (parent[c, t], root, depth, rank, sum(level > 0 for level, _ in parts[c, t]), linked[c, t])
+        for k in kids[c, t]:
+            rank = walk(c, k, root, depth + 1, rank + 1)
+        return rank
+
+    for (c, t), p in parent.items():
+        if p is None:
+            walk(c, t, t, 0, 0)
+    return out
+
+
+def by_message(df):
+    return {(r.conv_id, r.turn): (r.parent, r.root, r.depth, r.rank, r.n_quotes, r.n_linked) for r in df.collect()}
+
+
+def test_quotes_against_brute_force(spark):
+    """Random conversations: nested levels, whole passages, lines and sentences, odd marks and line ends, one hot conversation; turns negative and of over 12 digits."""
+    rng = np.random.default_rng(8)
+    pick = lambda x: x[rng.integers(len(x))]
+    rows = []
+    for c, size in ((None, 12), (1, 120), (2, 15), (3, 1), (4, 25)):
+        said = []
+        for k in range(size):
+            lines = []
+            for _ in range(int(rng.integers(4)) if said else 0):
+                level = int(rng.integers(1, 4))
+                mark = pick([">" * level + " ", "> " * level, " >" * level, ">" * level])
+                text = pick(pick(said[-6:]))
+                text = pick([text, pick(text.split("\n")), text.upper(), "unknown 12"])
+                lines += [mark + x for x in text.split("\n")] + [""] * int(rng.integers(2))
+            own = ["\n".join(pick(["yes.", "no", "well. so be it! " + str(k), f"word{rng.integers(40)} and. more{rng.integers(9)}", "12", "!!"]) for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 3)))]
+            said.append(own)
+            rows.append((c, (k - 3) * 10**13 + 9 * (k % 2), pick(["\n", "\r\n", "\r"]).join(lines + "\n\n".join(own).split("\n"))))
+    want = slow_threads(rows)
+    assert max(x[2] for x in want.values()) > 4 and sum(x[5] for x in want.values()) > 40
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(5)
+    assert by_message(quotes.conversations(df)) == want
+
+
+def test_long_chains_and_crowds_of_replies(spark):
+    """A chain in which each message answers the one before, and a message that hundreds answer."""
+    rows = [(1, k, "u", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(150)] + [(2, k, "u", "> start\nanswer" if k else "start") for k in range(400)]
+    rows += [(3, 0, "u", ">" * 30_000 + " deep\n" + "> line\n\n" * 3000 + "end")]
+    got = by_message(quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)))
+    assert all(got[1, k][:4] == (k - 1 if k else None, 0, k, k) for k in range(150))
+    assert all(got[2, k][:4] == (0 if k else None, 0, int(k > 0), k) for k in range(400))
+    assert got[3, 0][4:] == (3001, 0)
+
+
 # --- op4, op6 ---
 
 

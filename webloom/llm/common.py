@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text handed to one step of a Python worker at a time, in bytes: bounds its memory however long a batch is.
@@ -64,6 +64,21 @@ def tidy(run):
     return wrapped
 
 
+def sums_before(rows: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of value over the rows of the same group that come before in order, which is unique in a group. Rows are dealt out by ranges of group and order, so that a group of any size is many tasks' work: each task sums its own range, and a row for each task that a group reaches into carries the sums on."""
+    part = "__webloom_part"
+    dealt = cut(rows.repartitionByRange(*group, order).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(*group, part).agg(F.sum(value).alias("__webloom_sum"))
+    above = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(g).alias(f"__webloom_{g}") for g in group], F.col(part).alias("__webloom_at"), F.coalesce(F.sum("__webloom_sum").over(above), F.lit(0)).alias("__webloom_base"))
+    inside = Window.partitionBy(*group, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col(part) == F.col("__webloom_at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__webloom_{g}"))
+    return within.join(sums, same).withColumn(name, F.col(name) + F.col("__webloom_base")).select(*rows.columns, name)
+
+
 #: Classes of ids that a prefilter tells apart; so many rows of one long are the most it broadcasts.
 CLASSES = 1 << 20
 
