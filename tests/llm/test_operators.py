@@ -172,6 +172,73 @@ def test_webp_cross_colour_and_palette():
         assert (webp.decode(container(w)) == palette[index]).all()
 
 
+def by_hand(bits):
+    """A file of bits as the format's text lists them, first bit first; numbers are written least significant bit first."""
+    import struct
+
+    bits = bits.replace(" ", "").replace("\n", "")
+    data = bytes(int(bits[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+    data += b"\0" * (len(data) % 2)
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
+def test_webp_of_another_encoder():
+    """The one pixel, transparent, that browsers are probed with for lossless WebP: a palette of one colour."""
+    import base64
+
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
+
+
+def test_webp_colour_cache_by_hand():
+    """Three pixels of red 1: a literal, and twice the slot that its hash names, (0x1E35A7BD * 0xFF010000 mod 2**32) >> 31."""
+    slot = (0x1E35A7BD * 0xFF010000 % 2**32) >> 31
+    zeros = 280 + slot - 1 - 276  # between green 0 and the cache's symbol, beside twice 138
+    signature, size, flags = "11110100", "01000000000000" + "00000000000000", "1" + "000"
+    cache = "1" + "1000"  # a colour cache of 1 bit
+    order = "0" + "0000" + "010" + "100" + "000" + "010"  # lengths of codes 17, 18, 0, 1 are 2, 1, 0, 2: so 18 is 0, 1 is 10, 17 is 11
+    lengths = "0" + "10" + "0" + "1111111" + "0" + "1111111" + "11" + f"{zeros - 3:03b}"[::-1] + "10"
+    assert slot == 1  # the last symbol of all, so that no length follows
+    red, blue, alpha, far = "1001", "1000", "101" + "11111111", "1000"
+    pixels = "0" + "1" + "1"
+    got = webp.decode(by_hand(signature + size + flags + "0" + cache + "0" + order + lengths + red + blue + alpha + far + pixels))
+    assert got.tolist() == [[[1, 0, 0, 255]] * 3]
+
+
+def test_webp_predictor_and_back_reference_by_hand():
+    """Two rows of three pixels under mode 2 (above): green 5 and its right neighbours 1 more each, then the same below, by a back-reference of three zeros' worth."""
+    signature, size, flags = "11110100", "01000000000000" + "10000000000000", "1" + "000"
+    predictor = "1" + "00" + "000" + "0" + "1" + "0" + "1" + "01000000" + "1000" + "1000" + "1000" + "1000"  # blocks of 4; every mode 2
+    # green: literals 0, 1, 5 and length symbol 256 + 0 (one pixel), each of 2 bits, given by code lengths: 0 for 2 bits, others by runs
+    order = "0" + "1000" + "010" + "010" + "010" + "000" + "010"  # codes 17, 18, 0, 1, 2 have lengths 2, 2, 2, 0, 2: 0 is 00, 2 is 01, 17 is 10, 18 is 11
+    lengths = "0" + "01" + "01" + "10" + "000" + "01" + "11" + "1111111" + "11" + f"{112 - 11:07b}"[::-1] + "01" + "11" + f"{23 - 11:07b}"[::-1]
+    red, blue, alpha, far = "1000", "1000", "1000", "1001"  # distance code 2: the pixel to the left
+    zero, one, five, again = "00", "01", "10", "11"
+    pixels = five + one + one + zero + again + again
+    got = webp.decode(by_hand(signature + size + flags + predictor + "0" + "0" + "0" + order + lengths + red + blue + alpha + far + pixels))
+    assert got.tolist() == [[[0, 5, 0, 255], [0, 6, 0, 255], [0, 7, 0, 255]]] * 2
+
+
+@pytest.mark.parametrize("transform", [None, "plain", "left", "palette"])
+def test_webp_encoder(transform):
+    rng = np.random.default_rng(0)
+    for levels in (1, 2, 3, 4, 5, 16, 17, 256)[: 6 if transform == "palette" else 8]:
+        for rows in (1, 2, 7, 60, 600):
+            x = (rng.integers(0, levels, (rows, 64)) * (255 // max(1, levels - 1))).astype(np.uint8)
+            x.ravel()[int(rng.integers(x.size)) :] = 0
+            got = webp.decode(webp.encode_grey(x, transform))
+            assert (got[..., :3] == x[..., None]).all() and (got[..., 3] == 255).all()
+
+
+def test_webp_encoder_uses_what_is_smaller():
+    few = (np.random.default_rng(1).random((40, 64)) < 0.05).astype(np.uint8) * 7
+    slope = (np.arange(2560) // 3 % 256).astype(np.uint8).reshape(40, 64)
+    digits = np.frombuffer((LONG[:2560]).encode(), np.uint8).reshape(40, 64)
+    prose = np.random.default_rng(2).choice(np.frombuffer(b"the quick brown fox jumps over a lazy dog. eeee aaa", np.uint8), (40, 64))
+    for x, best in ((few, "palette"), (digits, "palette"), (slope, "left"), (prose, "plain")):
+        sizes = {t: len(webp.encode_grey(x, t)) for t in ("plain", "left", "palette") if t != "palette" or len(set(x.ravel().tolist())) <= 16}
+        assert min(sizes, key=sizes.get) == best and len(webp.encode_grey(x)) == sizes[best]
+
+
 def test_webp_rejects_damage():
     good = webp.encode_grey(np.arange(128, dtype=np.uint8).reshape(2, 64))
     for bad in (b"", good[:-20], good[:12] + b"VP8 " + good[16:], good[:20] + b"\0" + good[21:]):

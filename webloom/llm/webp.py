@@ -6,7 +6,9 @@ every bit position the pixel that would start there is looked up, positions that
 doubling, and only these count. Other images (several groups, colour cache) are read pixel by pixel.
 
 Media columns: a payload of bytes is stored as grey images of 64 samples a row and at most 1 MiB each, one after the
-other in one column, with the grey levels in prefix codes made for each image and its zero tail as a back-reference.
+other in one column, with the grey levels in prefix codes made for each image and its zero tail as a back-reference. Where that is
+smaller by estimate, the left predictor or a packed palette comes before the prefix codes; the colour cache never saves a bit of a grey
+image, whose pixels cost one symbol each as it is, so only the decoder has it.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; damaged files raise ValueError; rows that repeat are stored
 each; an empty table gives no rows; extra columns play no part.
@@ -57,8 +59,12 @@ class Bits:
         return got & ((1 << n) - 1)
 
 
+#: All numbers of 15 bits with their bits reversed, the longest a code has.
+REVERSED = sum(((np.arange(1 << 15) >> k & 1) << (14 - k) for k in range(15))).tolist()
+
+
 def _reverse(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+    return REVERSED[code] >> (15 - n)
 
 
 def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
@@ -80,8 +86,9 @@ def canonical(lengths: list[int] | np.ndarray) -> dict[int, tuple[int, int]]:
 class Code:
     """A prefix code as a table over the next `width` bits: symbol and length."""
 
-    def __init__(self, lengths: list[int] | np.ndarray):
-        codes = canonical(lengths)
+    def __init__(self, lengths: list[int] | np.ndarray | None, only: int = 0):
+        """From the lengths of all symbols, or of one symbol only, which takes no bits."""
+        codes = {only: (0, 0)} if lengths is None else canonical(lengths)
         if not codes:
             raise ValueError("a prefix code is empty")
         self.width = max(n for _, n in codes.values())
@@ -101,19 +108,18 @@ class Code:
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        if first >= alphabet:
+        second = bits.read(8) if two else first
+        if max(first, second) >= alphabet:
             raise ValueError("a symbol is out of range")
-        lengths[first] = 1
-        if two:
-            second = bits.read(8)
-            if second >= alphabet:
-                raise ValueError("a symbol is out of range")
-            lengths[second] = 1
+        if first == second:
+            return Code(None, first)
+        lengths = [0] * alphabet
+        lengths[first] = lengths[second] = 1
         return Code(lengths)
+    lengths = [0] * alphabet
     sizes = [0] * len(CODE_ORDER)
     for i in range(4 + bits.read(4)):
         sizes[CODE_ORDER[i]] = bits.read(3)
@@ -311,11 +317,15 @@ def _unpredict(argb: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     """Each pixel is the sum of what is stored and what its block's mode predicts from pixels left and above."""
     height, width = argb.shape
     d = _channels(argb)
+    mode_of = modes >> 8 & 0xF
+    if (mode_of == 1).all():  # the left pixel, and in the first column the one above
+        d[0, 0, 0] += 255
+        d[:, 0] = np.cumsum(d[:, 0], axis=0)
+        return _join(np.cumsum(d, axis=1))
     out = np.zeros_like(d)
     out[0, :, :] = np.cumsum(d[0], axis=0)
     out[0, :, 0] += 255
     out[0] &= 255
-    mode_of = modes >> 8 & 0xF
     for y in range(1, height):
         up, row = out[y - 1], out[y]
         row[0] = d[y, 0] + up[0] & 255
@@ -443,29 +453,34 @@ class Writer:
         self.value |= value << self.n
         self.n += n
 
+    def put_symbols(self, first: int, second: int | None = None) -> None:
+        """A prefix code of one symbol below 256, which takes no bits, or of two, which take one."""
+        self.put(1, 1)
+        self.put(second is not None, 1)
+        self.put(first > 1, 1)
+        self.put(first, 8 if first > 1 else 1)
+        if second is not None:
+            self.put(second, 8)
+
     def put_code(self, lengths: list[int]) -> None:
         """A prefix code: as one symbol below 256, or as its lengths, with runs of zeros in short."""
         used = [s for s, n in enumerate(lengths) if n]
-        if len(used) == 1 and used[0] < 256:
-            self.put(1, 1)
-            self.put(0, 1)
-            self.put(used[0] > 1, 1)
-            self.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) <= 2 and used[-1] < 256:
+            self.put_symbols(*used)
             return
         tokens: list[tuple[int, int, int]] = []
-        i = 0
-        while i < len(lengths):
-            j = i
-            while j < len(lengths) and not lengths[j] and j - i < 138:
-                j += 1
-            if j - i >= 11:
-                tokens.append((18, j - i - 11, 7))
-            elif j - i >= 3:
-                tokens.append((17, j - i - 3, 3))
+        at = 0
+        for k in [*used, len(lengths)]:
+            zeros, at = k - at, k + 1
+            while zeros >= 11:
+                tokens.append((18, min(zeros, 138) - 11, 7))
+                zeros -= min(zeros, 138)
+            if zeros >= 3:
+                tokens.append((17, zeros - 3, 3))
             else:
-                j = i + 1
-                tokens.append((lengths[i], 0, 0))
-            i = j
+                tokens += [(0, 0, 0)] * zeros
+            if k < len(lengths):
+                tokens.append((lengths[k], 0, 0))
         counts = [0] * len(CODE_ORDER)
         for s, _, _ in tokens:
             counts[s] += 1
@@ -516,10 +531,46 @@ def code_lengths(counts: list[int] | np.ndarray, most: int = 15) -> list[int]:
         shift += 2
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of grey samples (uint8, rows by columns): subtract-green, prefix-coded levels, and a zero tail of 4 samples or more as one zero and a back-reference to it."""
+#: Bits that a transform must save by estimate to be used.
+WORTH = 256
+
+
+def _bits(levels: np.ndarray) -> float:
+    """About the bits of levels in a prefix code: their entropy, but a bit each at least if they are not all the same."""
+    counts = np.bincount(levels)
+    counts = counts[counts > 0]
+    return max(len(levels), float(counts @ (np.log2(len(levels)) - np.log2(counts)))) if len(counts) > 1 else 0.0
+
+
+def _left_residues(samples: np.ndarray) -> np.ndarray:
+    """What the predictor of the left pixel leaves: in the first column that of the pixel above."""
+    out = samples.copy()
+    out[:, 1:] -= samples[:, :-1]
+    out[1:, 0] -= samples[:-1, 0]
+    return out
+
+
+def _packed(samples: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places in a palette of at most 16 levels, several to a pixel."""
+    per = 8 if len(known) <= 2 else 4 if len(known) <= 4 else 2
+    place = np.searchsorted(known, samples).astype(np.uint8)
+    place = np.pad(place, ((0, 0), (0, -samples.shape[1] % per))).reshape(len(samples), -1, per)
+    return (place << (np.arange(per, dtype=np.uint8) * np.uint8(8 // per))).sum(axis=2, dtype=np.uint8)
+
+
+def encode_grey(samples: np.ndarray, transform: str | None = None) -> bytes:
+    """A lossless WebP file of grey samples (uint8, rows by columns): subtract-green, and after it the transform that makes the levels smallest by estimate ("plain" for none, "left" for the predictor of the left pixel, "palette" for at most 16 levels, several to a pixel), or the one named; prefix-coded levels, and a zero tail of 4 levels or more as one zero and a back-reference to it."""
     height, width = samples.shape
-    flat = samples.ravel()
+    known = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    ways = {"plain": samples}
+    if transform in (None, "left"):
+        ways["left"] = _left_residues(samples)
+    if transform == "palette" or transform is None and len(known) <= 16:
+        ways["palette"] = _packed(samples, known)
+    if transform is None:
+        cost = {k: _bits(x.ravel()) + (WORTH if k != "plain" else 0) for k, x in ways.items()}
+        transform = min(cost, key=cost.get)
+    flat = ways[transform].ravel()
     ends = np.flatnonzero(flat)
     body = int(ends[-1]) + 1 if len(ends) else 0
     tail = len(flat) - body
@@ -537,12 +588,36 @@ def encode_grey(samples: np.ndarray) -> bytes:
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
     w.put(0b101, 3)  # a transform, subtract-green
+    if transform == "left":
+        w.put(0b001, 3)  # a transform, predictor
+        w.put(7, 3)  # blocks of 512
+        w.put(0, 1)  # no colour cache
+        for symbol in (1, 0, 0, 255, 0):  # mode 1, of every block
+            w.put_symbols(symbol)
+    elif transform == "palette":
+        w.put(0b111, 3)  # a transform, palette
+        w.put(len(known) - 1, 8)
+        w.put(0, 1)  # no colour cache
+        steps = np.diff(known, prepend=0).tolist()
+        green = [0] * (256 + LENGTHS)
+        for x in steps:
+            green[x] += 1
+        green = code_lengths(green)
+        w.put_code(green)
+        w.put_symbols(0)
+        w.put_symbols(0)
+        w.put_symbols(*(0, 255) if len(known) > 1 else (255,))
+        w.put_symbols(0)
+        codes = canonical(green)
+        for k, x in enumerate(steps):  # each level as a step from the one before, the first one's alpha 255
+            w.put(*codes[x])
+            if len(known) > 1:
+                w.put(k == 0, 1)
     w.put(0, 3)  # no more transforms, no colour cache, one group
     w.put_code(lengths)
-    for symbol, size in ((0, 256), (0, 256), (255, 256), (1, DISTANCES)):  # red, blue, alpha; distance code 2 is the pixel to the left
-        own = [0] * size
-        own[symbol] = 1
-        w.put_code(own)
+    # red, blue, alpha; distance code 2 is the pixel to the left
+    for symbol in (0, 0, 0 if transform == "left" else 255, 1):
+        w.put_symbols(symbol)
     codes = canonical(lengths)
     code, bits = np.zeros(256 + LENGTHS, np.uint64), np.zeros(256 + LENGTHS, np.int64)
     for s, (c, n) in codes.items():
