@@ -29,14 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether Spark removes the shuffle files of a query once that is done.
+TIDY_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, few: bool = False) -> DataFrame:
-    """df, computed once and read back from a table in the shared folder: survives lost executors and ends the lineage. few: for small rows after a shuffle, not one small file for each partition but for eight."""
+    """df, computed once and read back from a table in the shared folder: survives lost executors and ends the lineage. What was shuffled for it goes when the table is written. few: for small rows after a shuffle, not one small file for each partition but for eight."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/webloom-{uuid.uuid4().hex}"
     if few:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(TIDY_SHUFFLES, "false")
+    spark.conf.set(TIDY_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._webloom_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the tables that cut() wrote for these, which nothing may read any more: all that came from them has been cut itself."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._webloom_table)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -64,19 +82,19 @@ def tidy(run):
     return wrapped
 
 
-def sums_before(rows: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
-    """rows with `name`: the sum of value over the rows of the same group that come before in order, which is unique in a group. Rows are dealt out by ranges of group and order, so that a group of any size is many tasks' work: each task sums its own range, and a row for each task that a group reaches into carries the sums on."""
+def sums_before(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, str]) -> DataFrame:
+    """rows with, for each value: name of values, `name`: the sum of value over the rows of the same group (of all, if none is named) that come before in order, which is unique in a group. Rows are dealt out by ranges of group and order, so that a group of any size is many tasks' work: each task sums its own range, and a row for each task that a group reaches into carries the sums on."""
     part = "__webloom_part"
-    dealt = cut(rows.repartitionByRange(*group, order).withColumn(part, F.spark_partition_id()))
-    sums = dealt.groupBy(*group, part).agg(F.sum(value).alias("__webloom_sum"))
+    dealt = cut(rows.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
     above = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(g).alias(f"__webloom_{g}") for g in group], F.col(part).alias("__webloom_at"), F.coalesce(F.sum("__webloom_sum").over(above), F.lit(0)).alias("__webloom_base"))
-    inside = Window.partitionBy(*group, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    within = dealt.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    sums = dealt.groupBy(*group, part).agg(*[F.sum(v).alias(n) for v, n in values.items()])
+    sums = sums.select(*[F.col(g).alias(f"__webloom_{g}") for g in group], F.col(part).alias("__webloom_at"), *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"__webloom_of_{n}") for n in values.values()])
+    inside = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(n) for v, n in values.items()])
     same = F.col(part) == F.col("__webloom_at")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"__webloom_{g}"))
-    return within.join(sums, same).withColumn(name, F.col(name) + F.col("__webloom_base")).select(*rows.columns, name)
+    return within.join(sums, same).select(*rows.columns, *[(F.col(n) + F.col(f"__webloom_of_{n}")).alias(n) for n in values.values()])
 
 
 #: Classes of ids that a prefilter tells apart; so many rows of one long are the most it broadcasts.

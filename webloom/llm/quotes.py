@@ -112,7 +112,7 @@ def threads(answers: DataFrame) -> DataFrame:
         return nodes.select("conv_id", "turn", F.col("turn").alias("root"), F.col("size").alias("depth"), F.col("size").alias("rank"))
     sizes = _doubled(nodes, "size", pushed=True).withColumnsRenamed({"conv_id": "c", "turn": "t"}).select("c", "t", "size")
     sized = nodes.drop("size").join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).drop("c", "t")
-    behind = sums_before(sized.where("parent is not null"), ["conv_id", "parent"], "turn", "size", "before").withColumn("rank", F.col("before") + 1)
+    behind = sums_before(sized.where("parent is not null"), ["conv_id", "parent"], [F.col("turn")], {"size": "before"}).withColumn("rank", F.col("before") + 1)
     steps = behind.select("conv_id", "turn", "parent", "rank").unionByName(sized.where("parent is null").select("conv_id", "turn", "parent", F.lit(0).cast("long").alias("rank")))
     return _doubled(steps, "rank", pushed=False).withColumnRenamed("top", "root")
 
