@@ -3,7 +3,8 @@ r"""Exact dedup by skew-safe combining, in DataFrame functions only.
 Rows are deduplicated locally (partial aggregation), groups of equal digest are merged under a salt taken from the map
 partition, and the winners of all salts are combined globally. Each of these steps groups by the digest and the full
 text, so two texts of one digest never merge. Only digests travel in the last step, which gives each row its group: by
-then it is known whether a digest stands for one text. Those that stand for several take a join on the full text.
+then it is known whether a digest stands for one text, and how many rows have it. The few texts that a large share of the rows
+have are broadcast, all others joined. Digests that stand for several texts take a join on the full text.
 
 Defined results: a null text equals the empty one; a null id loses to any other; rows that repeat both the id and the
 text of the row that stays all count in group_size and are all marked kept in `members` (they are the same row), while
@@ -19,6 +20,8 @@ from .common import cut, named, one_space
 
 #: Partial groups of one text that meet in a task are at most the map partitions over this, and then this many.
 SALTS = 64
+#: Texts with over 1 / HOT of all rows; there are fewer than HOT of them, so they may be broadcast whatever the size of the table.
+HOT = 2000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,11 +46,20 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     found = winners(docs, id_col, text_col, salts)
     groups = _by_digest(found)
     rows = _keyed(docs, id_col, text_col)
-    out = rows.select("doc_id", "digest").join(groups.where("n_texts = 1"), "digest").drop("n_texts")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    hot = F.col("group_size") * HOT > total
+    single = groups.where("n_texts = 1").drop("n_texts")
+    # copies of a hot text meet its row by broadcast and travel on under keys of their own; no other key has over 1 / HOT of the rows
+    near = F.broadcast(single.where(hot).select(F.col("digest").alias("d1"), F.col("keep_id").alias("k1"), F.col("group_size").alias("n1")))
+    far = single.where(~hot).select(F.col("digest").alias("d2"), F.col("keep_id").alias("k2"), F.col("group_size").alias("n2"))
+    out = rows.select("doc_id", "digest").join(near, F.col("digest") == F.col("d1"), "left")
+    key = F.when(F.col("d1").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("doc_id").cast("string")))
+    out = out.withColumn("key", key).join(far, F.col("key") == F.col("d2"), "left").where("n1 is not null or n2 is not null")
+    out = out.select("doc_id", "digest", F.when(F.col("n1").isNotNull(), F.col("k1")).otherwise(F.col("k2")).alias("keep_id"), F.coalesce("n1", "n2").alias("group_size"))
     shared = groups.where("n_texts > 1").select("digest")
     if not shared.isEmpty():
         texts = rows.join(shared, "digest")
-        out = out.unionByName(texts.join(found, ["digest", "norm"]).drop("norm"))
+        out = out.unionByName(texts.join(found, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
