@@ -11,7 +11,7 @@ at `most` times its source's words; the excess is shared again by weight until n
 order of their cap per weight, the water level after each prefix of full ones.
 
 No group of a hot source meets in a task: positions in the shuffled order are sums over hash buckets plus a
-window inside each bucket (buckets grow in number with the rows), and ranks of slots are computed in closed form.
+window inside each bucket (buckets grow in number with the rows), ranks of slots are computed in closed form, and sums over sources are made in ranges of them.
 
 Defined results: a null text has 0 words and takes none; a null source is a source of its own; sources without words get
 target 0; rows that repeat an id are mixed as documents of their own; empty input gives empty output. Extra columns play
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, named, one_space, tidy
+from .common import cut, named, one_space, sums_before, tidy
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block.
@@ -43,20 +43,17 @@ def word_count(c: Column) -> Column:
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
-    """by_source(source, source_size) with weight, cap, target (double) and order (by code point). One row for each source throughout."""
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("order") - 1) % len(weights) + 1).cast("int"))
-    rows = by_source.withColumn("order", F.row_number().over(every)).withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), "order")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    rows = rows.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(factor)))
-    rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    rows = rows.withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", F.col("left") / F.col("open"))
-    full = F.col("level") * F.col("weight") >= F.col("cap")
-    level = F.min(F.when(~full, F.struct(F.col("cap") / F.col("weight"), F.col("order"), F.col("level")))).over(whole)["level"]
-    rows = rows.withColumn("target", F.when(full, F.col("cap")).otherwise(level * F.col("weight")))
+    """by_source(source, source_size) with weight, cap, target (double) and order (by code point). Sums over the sources before one are made in ranges, so that there may be any number of sources."""
+    rows = sums_before(by_source.withColumn("one", F.lit(1).cast("long")), [], [F.col("source").asc_nulls_last()], {"one": "order"}).drop("one")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("order") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("order", F.col("order") + 1)
+    # sources in the order in which they fill up: the caps and weights of those that do so before
+    rows = cut(sums_before(rows, [], [F.col("cap") / F.col("weight"), F.col("order")], {"cap": "before", "weight": "lighter"}), few=True)
+    whole = rows.agg((F.sum("source_size") * F.lit(float(factor))).alias("total"), F.sum("weight").alias("weights"))
+    rows = rows.join(F.broadcast(whole)).withColumn("level", (F.col("total") - F.col("before")) / (F.col("weights") - F.col("lighter")))
+    rows = rows.withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
+    first = rows.agg(F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "order", "level")))["level"].alias("water"))
+    rows = rows.join(F.broadcast(first)).withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("water") * F.col("weight")))
     return rows.select("source", "source_size", "weight", "cap", "target", "order")
 
 
@@ -96,7 +93,7 @@ def _below(end: np.ndarray, point: np.ndarray, m: int) -> np.ndarray:
 def slots(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
     """The schedule: source_order, block_no, point; sort by point to read the mix. wanted(order, words): whole words to take of each source."""
     rows = wanted.withColumn("n_slots", F.ceil(F.col("words") / F.lit(block)).cast("long"))
-    rows = rows.withColumn("first", F.sum("n_slots").over(Window.orderBy("order")) - F.col("n_slots"))
+    rows = cut(sums_before(rows, [], [F.col("order")], {"n_slots": "first"}), few=True)
     total = rows.agg(F.sum("n_slots")).first()[0] or 0
     m = max(1, int(total - 1).bit_length()) if total else 1
     chunk = 1 << 16
@@ -126,13 +123,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5
     taken = some.where("to > from").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("from") / block).cast("long"), F.floor((F.col("to") - 1) / block).cast("long"))))
     lo, hi = F.greatest("from", F.col("block_no") * block), F.least("to", (F.col("block_no") + 1) * block)
     taken = taken.withColumn("at", lo - F.col("from")).withColumn("words", hi - lo).drop("from", "to")
-    schedule = slots(sources.select("order", "words"), block).withColumnRenamed("source_order", "o").withColumnRenamed("block_no", "k")
+    # a written table, so that the planner knows its size: it grows with the words and is broadcast only while that is small
+    schedule = cut(slots(sources.select("order", "words"), block)).withColumnRenamed("source_order", "o").withColumnRenamed("block_no", "k")
     taken = taken.join(schedule, (F.col("order") == F.col("o")) & (F.col("block_no") == F.col("k"))).drop("o", "k")
     none = rows.where("size = 0 or source_size = 0 or start >= wanted").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("epoch", "int"), ("block_no", "long"), ("at", "long"))], F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("point"))
     return taken.unionByName(none).drop("start", "wanted")
 
 
 def taken_words(segments: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken."""
+    """One row for each document: doc_id, source, size, source_size, target, taken, first_point and last_point (of the slots that its words fill; null if none is taken)."""
     by = ["source", "bucket", "nth", "doc_id", "size", "source_size", "target"]
-    return segments.groupBy(*by).agg(F.sum("words").alias("taken")).drop("bucket", "nth")
+    return segments.groupBy(*by).agg(F.sum("words").alias("taken"), F.min("point").alias("first_point"), F.max("point").alias("last_point")).drop("bucket", "nth")
+
+
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix comes to them, with their own columns, in the order of the schedule: sorted by the first slot that a pass over the row fills, in ranges of slots. What is taken of a row in part comes whole, which is the last row of a source at most; rows without words, or of which nothing is taken, are left out. Rows that repeat an id are told apart by source and size; those that share these too come equally often."""
+    segments = mix(docs, weights, factor, most, block, id_col, text_col, source_col)
+    key = {"__webloom_id": "doc_id", "__webloom_source": "source", "__webloom_size": "size", "__webloom_epoch": "epoch"}
+    passes = segments.where("words > 0").groupBy(*[F.col(c).alias(k) for k, c in key.items()]).agg(F.min("point").alias("__webloom_point"))
+    passes = cut(passes, few=True)
+    same = named(id_col).eqNullSafe(F.col("__webloom_id")) & named(source_col).cast("string").eqNullSafe(F.col("__webloom_source")) & (word_count(named(text_col)) == F.col("__webloom_size"))
+    rows = docs.join(passes, same).repartitionByRange("__webloom_point").sortWithinPartitions("__webloom_point", "__webloom_id")
+    return rows.drop("__webloom_point", *key)

@@ -39,7 +39,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return mixing.taken_words(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_point", "last_point")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +85,32 @@ WITH d AS (
 ), f AS (
   SELECT level FROM l WHERE NOT (level * weight >= cap) ORDER BY cap / weight, n LIMIT 1
 ), t AS (
-  SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap ELSE (SELECT level FROM f) * weight END AS target FROM l
+  SELECT source, n, source_size, CASE WHEN level * weight >= cap THEN cap ELSE (SELECT level FROM f) * weight END AS target FROM l
 ), p AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d
 ), j AS (
-  SELECT p.doc_id, p.size, p.start, CAST(t.source_size AS BIGINT) AS source_size, t.target, CAST(floor(t.target) AS BIGINT) AS wanted
+  SELECT p.doc_id, p.size, p.start, CAST(t.source_size AS BIGINT) AS source_size, t.target, CAST(floor(t.target) AS BIGINT) AS wanted, t.n, row_number() OVER () AS row
   FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT n, CAST(ceil(floor(target) / 2048.0) AS BIGINT) AS n_slots, CAST(coalesce(sum(CAST(ceil(floor(target) / 2048.0) AS BIGINT)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM t
+), z AS (
+  SELECT greatest(1, CASE WHEN sum(n_slots) > 1 THEN len(bin(CAST(sum(n_slots) AS BIGINT) - 1)) ELSE 1 END) AS m FROM q
+), x AS (
+  SELECT n, unnest(range(before, before + n_slots)) AS place FROM q
+), v AS (
+  SELECT n, CAST(list_sum(list_transform(range(m), lambda k: ((place >> k) & 1) << (m - 1 - k))) AS BIGINT) AS point FROM x, z
+), r AS (
+  SELECT n, point, row_number() OVER (PARTITION BY n ORDER BY point) - 1 AS block_no FROM v
+), e AS (
+  SELECT row, n, epoch * source_size + start AS a, least(wanted, epoch * source_size + start + size) AS b FROM j, (VALUES (0), (1)) AS passes(epoch) WHERE size > 0
+), f2 AS (
+  SELECT row, n, unnest(range(CAST(a // 2048 AS BIGINT), CAST((b - 1) // 2048 AS BIGINT) + 1)) AS block_no FROM e WHERE b > a
+), s2 AS (
+  SELECT row, min(point) AS first_point, max(point) AS last_point FROM f2 JOIN r USING (n, block_no) GROUP BY row
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - source_size - start)) AS BIGINT) AS taken
-FROM j
+       CAST(greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - source_size - start)) AS BIGINT) AS taken, first_point, last_point
+FROM j LEFT JOIN s2 ON j.row = s2.row
 """
 
 OP7_SQL = rf"""
