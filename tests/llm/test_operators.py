@@ -580,6 +580,76 @@ def test_mix(spark):
     assert mixing.taken_words(mixing.mix(empty(spark))).count() == 0
 
 
+def slow_schedule(docs, block):
+    """{(doc_id, source, size): (taken, first point, last point)} by filling the slots of the schedule one by one, in order of their points."""
+    per = collections.defaultdict(list)
+    for d, text, source in docs:
+        per[source].append((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d, len((text or "").encode().split())))
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    size = {s: sum(x[2] for x in per[s]) for s in order}
+    weight, cap, left = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, {s: 2 * size[s] for s in order}, 1.5 * sum(size.values())
+    target, rest = {}, list(order)
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        full = [s for s in rest if level * weight[s] >= cap[s]]
+        for s in full or rest:
+            target[s] = cap[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        rest = [s for s in rest if s not in full] if full else []
+    places = [s for s in order for _ in range(-(-int(target[s]) // block))]
+    m = max(1, (len(places) - 1).bit_length())
+    points = sorted((int(f"{x:0{m}b}"[::-1], 2), s) for x, s in enumerate(places))
+    words = {s: [(d, k) for _, d, k in sorted(per[s], key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])) * 2 for _ in range(k)][: int(target[s])] for s in order}
+    filled, out = collections.Counter(), {}
+    for point, s in points:
+        for d in words[s][filled[s] : filled[s] + block]:
+            n, first, _ = out.get((d[0], s, d[1]), (0, point, point))
+            out[d[0], s, d[1]] = (n + 1, first, point)
+        filled[s] += block
+    return out
+
+
+@pytest.mark.parametrize("bucket", [20_000, 3])
+def test_mix_against_a_slow_schedule(spark, monkeypatch, bucket):
+    """Words taken and the slots that they fill, with many sources, a hot one, and buckets that split it."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * (i + 1)) if i % 7 else None, "hot" if i % 3 else f"s{rng.integers(9)}") for i in range(90)] + [(200, "a b", None), (201, "", "blank")]
+    want = slow_schedule(rows, 16)
+    got = mixing.taken_words(mixing.mix(table(spark, rows), block=16)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.taken, r.first_point, r.last_point) == want.get((r.doc_id, r.source, r.size), (0, None, None))
+
+
+def test_scheduled_rows_come_in_order(spark):
+    """Each row as often as the mix comes to it, sorted by its slots; no row of which words are taken is left out, and clashing names do no harm."""
+    rows = [(i, " ".join([f"w{i}"] * (3 + i % 40)), f"s{i % 4}") for i in range(80)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, source string, s string, d long, times int, point long")
+    segments = mixing.mix(docs, block=32).where("words > 0").groupBy("doc_id", "epoch").agg(F.min("point").alias("p")).collect()
+    want = collections.Counter(r.doc_id for r in segments)
+    out = mixing.scheduled(docs, block=32)
+    assert out.columns == docs.columns
+    got = [r.doc_id for r in out.collect()]
+    assert collections.Counter(got) == want and max(want.values()) == 2
+    first = {r.doc_id: min(x.p for x in segments if x.doc_id == r.doc_id) for r in segments}
+    seen = list(dict.fromkeys(got))
+    assert [first[d] for d in seen] == sorted(first.values())
+    assert mixing.scheduled(docs.limit(0)).count() == 0
+
+
+def test_sums_before(spark):
+    from webloom.llm.common import sums_before
+
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"g{i % 11}", i * 7 % 1009, int(rng.integers(9))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(7)
+    want = {(g, o): sum(x for h, p, x in rows if h == g and p < o) for g, o, _ in rows}
+    assert {(r.g, r.o): r.b for r in sums_before(df, ["g"], [F.col("o")], {"v": "b"}).collect()} == want
+    want = {o: sum(x for _, p, x in rows if p > o) for _, o, _ in rows}
+    assert {r.o: r.b for r in sums_before(df, [], [F.col("o").desc()], {"v": "b"}).collect()} == want
+
+
 def test_schedule_spreads_sources(spark):
     got = mixing.slots(spark.createDataFrame([(1, 3000), (2, 1000), (3, 0), (4, 17)], "order int, words long"), block=10).orderBy("point").collect()
     assert collections.Counter(r.source_order for r in got) == {1: 300, 2: 100, 4: 2}
@@ -606,6 +676,17 @@ def test_exact_dedup(spark):
     assert exact_dedup.members(empty(spark)).count() == exact_dedup.distinct_rows(empty(spark)).count() == 0
 
 
+def test_exact_dedup_of_hot_texts(spark, monkeypatch):
+    """Half of all rows are copies of one text, a third of another: they meet their group by broadcast, the rest by a join; all but the ids as one at a time."""
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    rows = [(i, "hot  text" if i % 2 else "warm" if i % 3 else f"own {i // 12}", "s") for i in range(300)] + [(None, "hot text", "s")]
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[re.sub(" +", " ", t)].append(i)
+    got = exact_dedup.members(table(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size) for r in got) == sorted((i is None, i or 0, min(x for x in v if x is not None), len(v)) for v in groups.values() for i in v)
+
+
 def test_exact_dedup_compares_texts_where_digests_collide(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
     docs = table(spark, [(1, "a", "s"), (2, "b", "s"), (3, "a", "s")])
@@ -673,7 +754,7 @@ def test_passages(spark, monkeypatch, part):
     keyed = suffix_dedup._keyed(table(spark, [(i, t, "s") for i, t in rows]), "doc_id", "text")
     got = collections.defaultdict(set)
     for r in passages.shared_words(keyed, 10, 3).collect():
-        got[r.doc_id] |= set(range(r.s, r.e))
+        got[r.doc_id] |= {x for s, e in r.spans for x in range(s, e)}
     want = {d: n for (d, _), n in slow_passages(rows, 10).items()}
     assert {d: len(x) for d, x in got.items()} == {d: n for d, n in want.items() if n}
     assert want[95] == 40 and want[92] == 0

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, slices, small_batches, tidy
+from .common import cut, forget, maybe_in, slices, small_batches, tidy
 
-WORDS, GRAM = 51, 8
+WORDS, GRAM = 51, 16
 #: Words of one document handled at a time.
 PART = 1 << 20
 #: Odd multipliers of the two range hashes and of what mixes them (fixed numbers).
@@ -133,8 +133,9 @@ def _runs(keyed: DataFrame, width: int, gram: int) -> DataFrame:
     return keyed.mapInArrow(tidy(run), f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, a long, nw int, ah long, r1 long, r2 long")
 
 
-def shared_words(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, s, e: words [s, e) of keyed(doc_id, th, text) that lie in a string of `words` words which also stands in another document. Ranges of a document may overlap."""
+def shared_words(keyed: DataFrame, words: int = WORDS, gram: int | None = None) -> DataFrame:
+    """doc_id, th, spans: ranges [s, e) of words of keyed(doc_id, th, text) that lie in a string of `words` words which also stands in another document, for documents that have some. Ranges of a document may overlap."""
+    gram = min(GRAM, (words + 2) // 3) if gram is None else gram
     if not 1 <= gram <= words:
         raise ValueError("gram must be at least 1 and at most words")
     small_batches(keyed.sparkSession)
@@ -143,8 +144,8 @@ def shared_words(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> Data
     several = F.min(doc) != F.max(doc)
     common = found.groupBy("ah").agg(several.alias("several")).where("several").select(F.col("ah").alias("ah2"))
     common = cut(common, few=True)
-    some = maybe_in(found, F.col("ah"), common).join(common, F.col("ah") == F.col("ah2"), "left_semi").drop("ah2")
-    some = cut(some)
+    some = cut(maybe_in(found, F.col("ah"), common).join(common, F.col("ah") == F.col("ah2"), "left_semi").drop("ah2"))
+    forget(found, common)
     parts = ("doc_id", "th", "a", "nw")  # of any one run of a class, all from the same row
     classes = cut(some.groupBy("ah", "r1", "r2").agg(several.alias("several"), *[F.first(c).alias(c) for c in parts]), few=True)
     same = (F.col("ah") == F.col("ah2")) & (F.col("r1") == F.col("x1")) & (F.col("r2") == F.col("x2"))
@@ -157,7 +158,10 @@ def shared_words(keyed: DataFrame, words: int = WORDS, gram: int = GRAM) -> Data
     windows = cut(_windows(keyed, wanted, words))
     counts = windows.groupBy("w1", "w2").agg((several | F.bool_or("several")).alias("shared")).where("shared").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
     met = windows.where("not several").join(counts, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi")
-    return spans.unionByName(met.select("doc_id", "th", "s", (F.col("s") + words).alias("e")))
+    spans = spans.unionByName(met.select("doc_id", "th", "s", (F.col("s") + words).alias("e")))
+    lists = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), few=True)  # of one document
+    forget(some, classes, windows)
+    return lists
 
 
 def _windows(keyed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, named, slices, small_batches, tidy
+from .common import cut, forget, maybe_in, named, slices, small_batches, tidy
 from .passages import shared_words
 
 MIN_BYTES, GRAM = 400, 128
@@ -211,6 +211,10 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
+def _merged(spans: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return merge_spans(*[x.to_numpy(zero_copy_only=False) for x in spans.slice(k, 1).flatten().flatten()])
+
+
 def _parts(raw: bytes, min_bytes: int) -> Iterator[tuple[int, bytes]]:
     for at in range(0, max(1, len(raw) - min_bytes + 1), PART):
         yield at, raw[at : at + PART + min_bytes - 1]
@@ -349,7 +353,7 @@ def _by_windows(segments: DataFrame, min_bytes: int, keep_first: bool) -> DataFr
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (a hash of the text), s, e: bytes [s, e) that lie in a string of min_bytes which also starts elsewhere (keep_first: earlier, by id and place). Spans of a document may overlap."""
+    """doc_id, th (a hash of the text), spans: ranges [s, e) of bytes that lie in a string of min_bytes which also starts elsewhere (keep_first: earlier, by id and place), for documents that have some. Ranges of a document may overlap."""
     if gram & (gram - 1) or not 16 <= gram <= min_bytes:
         raise ValueError("gram must be a power of 2 of at least 16 and at most min_bytes")
     small_batches(docs.sparkSession)
@@ -372,7 +376,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     wanted = classes.join(several, F.col("ah") == F.col("ah2")).select("one.*", "ah", "big")
     segments = cut(_segments(keyed, wanted, min_bytes))
     spans = spans.unionByName(_by_suffixes(segments.where(~F.col("big")), min_bytes, keep_first))
-    return spans.unionByName(_by_windows(segments.where("big"), min_bytes, keep_first))
+    spans = spans.unionByName(_by_windows(segments.where("big"), min_bytes, keep_first))
+    lists = cut(spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), few=True)  # of one document
+    forget(found, classes, segments)
+    return lists
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,12 +394,14 @@ def digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = Fals
 
 def _result(docs: DataFrame, min_bytes: int, keep_first: bool, gram: int, id_col: str, text_col: str, digest: bool, passage_words: int | None = None) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs, min_bytes, keep_first, gram, id_col, text_col).select("*", F.lit(True).alias("bytes"))
+    both = keyed
+    found = [("spans", repeated_spans(docs, min_bytes, keep_first, gram, id_col, text_col))]
     if passage_words:
-        spans = spans.unionByName(shared_words(keyed, passage_words).select("*", F.lit(False).alias("bytes")))
-    lists = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e", "bytes")).alias("spans"))  # of one document
-    lists = cut(lists.withColumnsRenamed({"doc_id": "d", "th": "t"}), few=True)
-    both = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "spans")
+        found.append(("shared", shared_words(keyed, passage_words)))
+    for name, lists in found:
+        lists = lists.withColumnsRenamed({"doc_id": f"d_{name}", "th": f"t_{name}", "spans": name})
+        both = both.join(lists, F.col("doc_id").eqNullSafe(F.col(f"d_{name}")) & (F.col("th") == F.col(f"t_{name}")), "left")
+    both = both.select("doc_id", "text", *[name for name, _ in found])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"] + ["n_passage_words"] * bool(passage_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,15 +410,15 @@ def _result(docs: DataFrame, min_bytes: int, keep_first: bool, gram: int, id_col
             for k, raw in enumerate(pc.cast(b.column(1), pa.binary()).to_pylist()):
                 kept, removed, n, shared = raw, 0, 0, 0
                 if b.column(2)[k].is_valid:
-                    starts, ends, of_bytes = (x.to_numpy(zero_copy_only=False) for x in b.column(2).slice(k, 1).flatten().flatten())
-                    s, e = merge_spans(starts[~of_bytes], ends[~of_bytes])
-                    shared = int((e - s).sum())
-                    s, e = merge_spans(starts[of_bytes], ends[of_bytes])
+                    s, e = _merged(b.column(2), k)
                     keep = np.ones(len(raw) + 1, np.int8)
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
                         keep[x:y] = 0
                     kept = np.frombuffer(raw, np.uint8)[keep[:-1] == 1].tobytes()
                     removed, n = len(raw) - len(kept), len(s)
+                if passage_words and b.column(3)[k].is_valid:
+                    s, e = _merged(b.column(3), k)
+                    shared = int((e - s).sum())
                 for x, v in zip(out, (len(raw), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept, shared), strict=True):
                     x.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.int64()]
