@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, named, shared_folder, slices, small_batches, tidy
+from .common import cut, forget, maybe_in, named, shared_folder, slices, small_batches, tidy
 
 SEED = 42
 #: Generator polynomials of the binary Golay and Hamming codes (fixed values of those codes).
@@ -330,11 +330,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
     compared with each other; a minimum spanning forest of the near ones goes on, so that copies in a group are no pairs, and its edges are
     checked on the shingles themselves. An anchor with over CELL_ROWS rows is taken in blocks (see cell_links), in an order that
     differs from table to table, and a hot one is dealt to many tasks, whose leaders are compared in a second round. Ids are whole numbers; null ids are never linked. A pair at 0.8 exactly meets
-    in 96 tables with a probability of 0.92, at 0.85 of 0.98, at 0.9 of 0.999. All that this leaves unjoined, in hot cells, between blocks,
-    off a forest or in short texts, is then found exactly (see unmet), so that no link between two groups is lost.
+    in 96 tables with a probability of 0.92, at 0.85 of 0.98, at 0.9 of 0.999. What this leaves unjoined, in hot cells, between blocks,
+    off a forest or in short texts, meets once more, at the rare shingles that two such texts always share (see prefix_cells), where all near pairs of
+    a small cell and a forest of a large one are checked.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).where("doc_id is not null")
+    text = named(text_col).cast("string")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * len(MIXES)
     most = int(np.ceil(bits * share + 3.5 * np.sqrt(bits * share * (1 - share))))
@@ -342,10 +344,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = pc.fill_null(b.column(1), "")
+            text = pc.fill_null(b.column(2), "")
             for i, j in slices(text):
                 got = np.array([sketch(t, words) for t in text.slice(i, j - i).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(got[:, k]) for k in range(got.shape[1])]], ["doc_id", *words_of])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(got[:, k]) for k in range(got.shape[1])]], ["doc_id", "th", *words_of])
 
     def replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,7 +363,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
                     cell |= np.where(np.isin(cell, hot), (mixed >> np.uint64(40)).astype(np.int64) % SALTS + 1, 0) << ANCHOR_BITS
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *[c.take(pa.array(again)) for c in part.columns]], ["cell", "doc_id", *words_of])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch], most: int, all_pairs: int) -> Iterator[pa.RecordBatch]:
         no_ids, no_f = np.zeros(0, np.int64), np.zeros((0, len(MIXES)), np.uint64)
         key, ids, f = no_ids, no_ids, no_f
         now, lead_ids, lead_f = -1, no_ids, no_f  # the cell at hand and its leaders so far
@@ -383,6 +385,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
                 if goes_on or len(lead_ids) or j - i > CELL_ROWS or now >> ANCHOR_BITS > 0:
                     found, lead_ids, lead_f = cell_links(ids[i:j], f[i:j], most, lead_ids, lead_f)
                     links.extend(found)
+                elif j - i <= all_pairs:
+                    x, y = np.triu_indices(j - i, 1)
+                    near = np.bitwise_count(f[i + x] ^ f[i + y]).sum(axis=1, dtype=np.int64) <= most
+                    links.extend(zip(ids[i + x[near]].tolist(), ids[i + y[near]].tolist(), strict=True))
                 else:
                     links.extend((int(ids[i + x]), int(ids[i + y])) for x, y in spanning(f[i:j], most))
 
@@ -415,14 +421,14 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
         yield out()
 
     bits_schema = "doc_id long, " + ", ".join(f"{x} long" for x in words_of)
-    sketches = cut(rows.mapInArrow(tidy(draw), bits_schema))
+    sketches = cut(rows.mapInArrow(tidy(draw), bits_schema.replace("doc_id long", "doc_id long, th long")))
 
     def spread(some: DataFrame, hot: np.ndarray) -> DataFrame:
-        return some.mapInArrow(tidy(lambda batches: replicate(batches, hot)), "cell long, " + bits_schema)
+        return some.select("doc_id", *words_of).mapInArrow(tidy(lambda batches: replicate(batches, hot)), "cell long, " + bits_schema)
 
-    def compared(cells: DataFrame) -> DataFrame:
+    def compared(cells: DataFrame, most: int, all_pairs: int) -> DataFrame:
         mixed = F.xxhash64("doc_id", "cell")
-        return cells.repartition("cell").sortWithinPartitions("cell", mixed, "doc_id").mapInArrow(tidy(compare), "a long, b long, cell long, " + bits_schema)
+        return cells.repartition("cell").sortWithinPartitions("cell", mixed, "doc_id").mapInArrow(tidy(lambda batches: compare(batches, most, all_pairs)), "a long, b long, cell long, " + bits_schema)
 
     # at most tables / HOT_SHARE anchors are hot, whatever the size; which ones only says how the work is dealt out
     share_of = min(1.0, HOT_SAMPLE / max(1, sketches.count()))
@@ -430,17 +436,30 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
     n_sample = sample.count()
     often = spread(sample, np.zeros(0, np.int64)).groupBy("cell").count().where(F.col("count") > max(50, int(HOT_SHARE * n_sample)))
     hot = np.array(sorted(r[0] for r in often.select("cell").collect()), np.int64)
-    first = cut(compared(spread(sketches, hot)))
-    again = compared(first.where("a is null").select("cell", "doc_id", *words_of))
-    near = first.where("a is not null").select("a", "b").unionByName(again.where("a is not null").select("a", "b")).where("a <> b")
-    near = cut(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")), few=True)
+
+    def linked(cells: DataFrame, most: int, all_pairs: int = 2) -> DataFrame:
+        """Pairs (a, b) that lie near in a cell, or as leaders of the cells of a hot anchor: a forest, or all pairs of a cell of so few rows."""
+        first = cut(compared(cells, most, all_pairs))
+        again = compared(first.where("a is null").select("cell", "doc_id", *words_of), most, all_pairs)
+        both = first.where("a is not null").select("a", "b").unionByName(again.where("a is not null").select("a", "b")).where("a <> b")
+        both = cut(both.distinct(), few=True)
+        forget(first)
+        return both
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a cut table) that are similar by their shingles. An id with a large share of the pairs, a leader's, has its shingles sent to several tasks."""
         ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-        sets = maybe_in(rows, F.col("doc_id"), ends).join(ends, F.col("doc_id") == F.col("n"), "left_semi").mapInArrow(tidy(shingle_sets), "doc_id long, shingles binary")
-        left, right = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t"))
-        both = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "s", "t")
-        return both.mapInArrow(tidy(check), "a long, b long").distinct()
+        sets = maybe_in(rows, F.col("doc_id"), ends).join(ends, F.col("doc_id") == F.col("n"), "left_semi").select("doc_id", "text").mapInArrow(tidy(shingle_sets), "doc_id long, shingles binary")
+        share = max(PAIRS_AT_ONCE, pairs.count() // HOT_IDS)
+        both = pairs
+        for end, x, found in (("a", "x", "s"), ("b", "y", "t")):
+            # at most HOT_IDS ids have over 1 / HOT_IDS of the pairs
+            hot = F.broadcast(pairs.groupBy(F.col(end).alias("h")).count().where(F.col("count") > share).select("h", F.ceil(F.col("count") / share).cast("int").alias("parts")))
+            side = sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(found)).join(hot, F.col(x) == F.col("h"), "left")
+            side = side.select(x, found, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias(f"part_{x}"))
+            both = both.join(hot, F.col(end) == F.col("h"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"), F.lit(0))).drop("h", "parts")
+            both = both.join(side, (F.col(end) == F.col(x)) & (F.col("part") == F.col(f"part_{x}"))).drop("part", x, f"part_{x}")
+        return both.select("a", "b", "s", "t").mapInArrow(tidy(check), "a long, b long").distinct()
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,11 +478,22 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
                 keep.append(not whole or both >= similarity * whole)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    near = linked(spread(sketches, hot), most)
     found = cut(verified(near), few=True)
-    rest = cut(unmet(rows, components(found), words, similarity), few=True)
+    roots = cut(components(found).distinct(), few=True)
+    # a wider cut than before, as nothing else is to be found here: that of sets of 4 and 5, the smallest that are similar but not equal
+    rest = linked(prefix_cells(rows, roots, sketches, words, similarity), int(bits * 3 / 16 + 6 * np.sqrt(bits * 3 / 16 * 13 / 16)), FEW_ROWS)
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias("n"), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(of, F.col(end) == F.col("n"), "left").drop("n")
+    rest = cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few=True)
     return found.unionByName(verified(rest)).distinct()
 
 
+#: Cells of rare shingles with so many rows at most give all their near pairs, others a forest: in proportion to the rows either way.
+FEW_ROWS = 16
+#: Ids with over 1 / HOT_IDS of all pairs, and over PAIRS_AT_ONCE, are compared in several tasks.
+HOT_IDS, PAIRS_AT_ONCE = 500, 1000
 #: A shingle on so many of about PREFIX_SAMPLE texts is common: common shingles come last in the order that prefixes are taken in, the commonest at the end.
 PREFIX_SAMPLE, COMMON = 20_000, 5
 
@@ -476,20 +506,21 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
     return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
 
 
-def unmet(rows: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ids in different components (roots: node, root) that can have this similarity, none left out: by prefix filtering.
+def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+    """cell, doc_id and the sketch of each text of rows(doc_id, th, text) at its first shingles, where these stand in texts of different components (roots: node, root).
 
     Two sets with a Jaccard similarity of t have more in common than what either has behind its first n - ceil(t n) + 1 shingles,
-    in any order that holds for all sets; so they share one of these. Of a pair, the shingles shared so far and the rest
-    behind the last of them bound the overlap. No group of rows is capped; ids of one component are joined already and make no pair.
+    in any order that holds for all sets; so they share one of these, and meet in its cell. Rare shingles come first, so cells are small:
+    what many texts share brings together only texts of hardly anything else. No cell is capped, and rows of a cell are not multiplied
+    with each other: they are compared by their sketches like those of an anchor, and the cell of a shingle that is hot even so is dealt out like a hot anchor.
     """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for b in batches:
-            ids, text = b.column(0).to_numpy(zero_copy_only=False), pc.fill_null(b.column(1), "")
+            text = pc.fill_null(b.column(2), "")
             for i, j in slices(text):
                 # a text without words is the set of one shingle, 0
-                yield ids[i:j], [np.unique(np.array(shingle_hashes(t, words) or [0], np.uint64)) for t in text.slice(i, j - i).to_pylist()]
+                yield b.slice(i, j - i), [np.unique(np.array(shingle_hashes(t, words) or [0], np.uint64)) for t in text.slice(i, j - i).to_pylist()]
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in sets(batches):
@@ -502,14 +533,14 @@ def unmet(rows: DataFrame, roots: DataFrame, words: int, similarity: float) -> D
     by = np.argsort(common)
     common, counts = common[by], counts[by]
 
+    n_sample = sample.count()
+    hot = common[counts > max(50, int(HOT_SHARE * n_sample))]
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, some in sets(batches):
+        for b, some in sets(batches):
             first = [prefix(h, similarity, common, counts) for h in some]
-            sizes = [len(x) for x in first]
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            n = np.repeat(np.array([len(h) for h in some], np.int32), sizes)
-            own = np.repeat(np.array([h.sum() for h in some], np.uint64).astype(np.uint32).view(np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(n), pa.array(own), pa.array(place)], ["shingle", "doc_id", "n", "own", "place"])
+            again = pa.array(np.repeat(np.arange(len(some)), [len(x) for x in first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), b.column(0).take(again), b.column(1).take(again)], ["shingle", "doc_id", "th"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of shingles those whose shingle another row has too. The last row waits for the next batch."""
@@ -527,19 +558,21 @@ def unmet(rows: DataFrame, roots: DataFrame, words: int, similarity: float) -> D
         if held is not None and before:
             yield held
 
-    schema = "shingle long, doc_id long, n int, own int, place int"
+    schema = "shingle long, doc_id long, th long"
     firsts = rows.mapInArrow(tidy(prefixes), schema).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(shared), schema)
-    firsts = cut(firsts)
-    known = firsts.join(roots.distinct(), F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "n", "own", "place", F.coalesce("root", "doc_id").alias("root"))
+    firsts = cut(firsts.distinct())
+    known = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "th", F.coalesce("root", "doc_id").alias("root"))
     split = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("shingle").alias("k"))
-    known = cut(known.join(split, F.col("shingle") == F.col("k"), "left_semi"))
-    x, y = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "xy")
-    near_size = (F.col("n_x") >= F.col("n_y") * similarity - 1e-6) & (F.col("n_y") >= F.col("n_x") * similarity - 1e-6)
-    met = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("root_x") != F.col("root_y")) & near_size)
-    # rows that repeat an id with another text are bounded apart
-    met = met.groupBy(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), "n_x", "n_y", "own_x", "own_y").agg(F.count(F.lit(1)).alias("c"), F.max("place_x").alias("i"), F.max("place_y").alias("j"))
-    most = F.col("c") + F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j")) - 1
-    return met.where(most >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-6).select("a", "b").distinct()
+    known = known.drop("root").join(split, F.col("shingle") == F.col("k"), "left_semi")
+    bits = sketches.dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    # a cell has the last bits of a shingle, and above them the part that a row of a hot one is dealt to
+    cell = F.col("shingle").bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1))
+    if len(hot):
+        part = F.pmod(F.xxhash64("doc_id", "th", "shingle"), F.lit(SALTS)) + 1
+        cell = cell.bitwiseOR(F.when(F.col("shingle").isin(hot.view(np.int64).tolist()), F.shiftleft(part, ANCHOR_BITS)).otherwise(F.lit(0)))
+    out = cut(known.join(bits, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).withColumn("cell", cell).select("cell", "doc_id", *[c for c in sketches.columns if c not in ("doc_id", "th")]))
+    forget(firsts)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
