@@ -8,17 +8,16 @@ of several documents is shared as it is. Anchors that have other classes too giv
 their hash. No group of rows comes together anywhere; counting starts before each shuffle.
 
 Defined results: null counts as empty; texts of fewer words share nothing; passages that a document repeats within itself only
-are none; rows that repeat both id and text count as one document. Equality of windows is by 128 bits of hash.
+are none; rows that repeat both id and text count as one document. Words are equal by 64 bits of hash, windows by 128 bits over their words'.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +40,61 @@ class Ranges:
     """Two 64-bit hashes of any range of words, from their prefix sums."""
 
     def __init__(self, words: np.ndarray):
-        n = len(words)
         self.sums, self.back = [], []
         for k, b in enumerate(BASES):
-            power, inverse = np.full(n, b), np.full(n + 1, np.uint64(pow(int(b), -1, 1 << 64)))
-            if n:
-                power[0] = 1
-            inverse[0] = 1
             w = mixed(words + np.uint64(k)) if k else words
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * np.multiply.accumulate(power))]))
-            self.back.append(np.multiply.accumulate(inverse))
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _powers(len(words), int(b)))]))
+            self.back.append(_powers(len(words) + 1, pow(int(b), -1, 1 << 64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         return [mixed((s[end] - s[start]) * b[start]) for s, b in zip(self.sums, self.back, strict=True)]
 
 
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 20
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(2)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base, and of its inverse modulo 2**64."""
+    base = 0xC2B2AE3D27D4EB4F
+    return _powers(n, base), _powers(n, pow(base, -1, 1 << 64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each word of all texts, and where each text's words begin (and the last one's end)."""
-    lists = pc.ascii_split_whitespace(texts)
-    flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    ends = ends - ends[0]
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-    return known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(full)])[ends]
+    """A 64-bit hash of each word of all texts, of its bytes and length, and where each text's words begin (and the last one's end)."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, at, data = texts.buffers()
+    offs = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    solid = _SOLID[raw]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = offs[(offs > 0) & (offs < len(raw))]  # a word ends with its text
+    first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
+        a, n = starts[i], int(ends[j - 1] - starts[i])
+        power, inverse = _tables(2 * CHUNK if n <= 2 * CHUNK else 1 << n.bit_length())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw[a : a + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        x, y = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mixed((sums[y] - sums[x]) * inverse[x] + (y - x).astype(np.uint64) * MIX)
+        i = j
+    return out, np.searchsorted(starts, offs)
 
 
 def anchors(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
