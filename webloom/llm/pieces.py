@@ -212,18 +212,25 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return _run(docs, model, id_col, text_col, False)
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """encode() with its arrays and texts only as digests, taken in the worker: doc_id, n_tokens, ids_sha256, decoded_sha256. slice_bytes: text at a time; a byte takes about 60 bytes of a worker's memory, and smaller slices share fewer words."""
-    return _run(docs, model, id_col, text_col, True, slice_bytes)
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES, keep_words: bool = True) -> DataFrame:
+    """encode() with its arrays and texts only as digests, taken in the worker: doc_id, n_tokens, ids_sha256, decoded_sha256. slice_bytes: text at a time; a byte takes about 60 bytes of a worker's memory, and smaller slices share fewer words. keep_words: whether a worker remembers words from one task to the next, and their memory between jobs."""
+    return _run(docs, model, id_col, text_col, True, slice_bytes, keep_words)
 
 
-def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def _run(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool, slice_bytes: int = SLICE_BYTES, keep_words: bool = True) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
+        try:
+            yield from coded(c, batches)
+        finally:
+            if not keep_words:
+                c.known, c.old = {}, {}
+
+    def coded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(1), "")
             for i, j in slices(text, slice_bytes):
