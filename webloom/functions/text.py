@@ -43,13 +43,11 @@ def encode_field(c: Column) -> Column:
 
 
 def decode_field(c: Column) -> Column:
-    """The inverse: an unknown escape stands for its character, a lone backslash at the end for itself."""
-    hold = "﷐"  # a code point that is no character
-    c = F.replace(c, F.lit("\\\\"), F.lit(hold))
-    for escaped, raw in (("\\t", "\t"), ("\\r", "\r"), ("\\n", "\n")):
-        c = F.replace(c, F.lit(escaped), F.lit(raw))
-    c = F.regexp_replace(c, r"\\(?s)(.)", "$1")
-    return F.replace(c, F.lit(hold), F.lit("\\"))
+    """The inverse: an unknown escape stands for its character, a lone backslash at the end for itself. The text is taken apart into escapes and what lies between, so that every character may stand in it."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), 1)
+    escaped = lambda p: p.startswith("\\") & (F.length(p) == 2)
+    one = lambda p: F.when(p == "\\t", "\t").when(p == "\\r", "\r").when(p == "\\n", "\n").when(escaped(p), F.substring(p, 2, 1)).otherwise(p)
+    return F.array_join(F.transform(parts, one), "")
 
 
 def shard(word: Column) -> Column:
