@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.text import fold, tokens, word_key
+from webloom import tables
+from webloom.functions.text import fold, sanitize, shard, tokens, word_key
 
 KEY = ("word", "url")
+SCHEMA = "word string, url string, origin_url string, depth int, term_frequency long"
 
 
 def first_origin(order: Column | None = None) -> Column:
@@ -23,6 +25,15 @@ def postings(corpus: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(first_origin().alias("origin_url"), F.min("depth").alias("depth"), F.count(F.lit(1)).alias("term_frequency"))
 
 
+def postings_of(*corpora: DataFrame) -> DataFrame:
+    """merge() of the postings of each corpus, counted at once: one shuffle."""
+    rows = None
+    for i, c in enumerate(corpora):
+        c = c.where("url <> ''").select(F.explode(tokens(F.col("text"))).alias("word"), "url", "origin_url", F.coalesce(F.col("depth").cast("int"), F.lit(0)).alias("depth"), F.lit(i).alias("part"))
+        rows = c if rows is None else rows.unionByName(c)
+    return rows.groupBy(*KEY).agg(first_origin(F.struct("part", "origin_url")).alias("origin_url"), F.min("depth").alias("depth"), F.count(F.lit(1)).alias("term_frequency"))
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Postings added up: frequencies add, the least depth stays, as does the first origin that is not empty (by the order of parts)."""
     rows = None
@@ -45,7 +56,7 @@ def exact(index: DataFrame, word: str) -> DataFrame:
 
 
 def prefix(index: DataFrame, word: str) -> DataFrame:
-    """Postings of all words with this prefix, added up by url."""
+    """Postings of all words with this prefix, added up by url. The filter reaches the scan of a stored index."""
     found = index.where(F.col("word").startswith(word_key(F.lit(word))) & (word_key(F.lit(word)) != ""))
     return found.groupBy("url").agg(F.sum("term_frequency").alias("term_frequency"), F.min("depth").alias("depth"), first_origin(F.struct("word", "origin_url")).alias("origin_url"))
 
@@ -83,16 +94,54 @@ def node_count(index: DataFrame) -> DataFrame:
 
 
 def purge_origin(index: DataFrame, origin: str) -> tuple[DataFrame, DataFrame]:
-    """What stays, and a row of postings_removed and words_unindexed (words left without postings)."""
+    """What stays, and a row of postings_removed, words_unindexed (words left without postings) and postings_left: one count for each word, then their sums."""
     gone = F.coalesce("origin_url", F.lit("")) == origin
-    words = index.groupBy("word").agg(F.count_if(gone).alias("gone"), F.bool_and(gone).alias("dead"))
-    return index.where(~gone), words.agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("postings_removed"), F.count_if(F.col("dead")).alias("words_unindexed"))
+    words = index.groupBy("word").agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("left"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return index.where(~gone), words.agg(total("gone").alias("postings_removed"), F.count_if((F.col("left") == 0) & (F.col("gone") > 0)).alias("words_unindexed"), total("left").alias("postings_left"))
+
+
+def store(index: DataFrame, path: str) -> None:
+    """The index as a table to look words up in: a folder for each shard, files by ranges of words and sorted by word, so that a lookup reads the row groups that may hold its words, and nothing else."""
+    by = ["shard", "word", "url"]
+    rows = index.select("*", shard(F.col("word")).alias("shard"))
+    tables.write(rows.repartitionByRange(*by).sortWithinPartitions(*by), path, "shard")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of a stored index, with their shard."""
+    return spark.read.schema(SCHEMA + ", shard string").parquet(path)
+
+
+def only(index: DataFrame, words: list[str]) -> DataFrame:
+    """Postings of these words, folded ones: of a stored index only their shards and row groups are read, of any other only their rows go on to be counted."""
+    found = index.where(F.col("word").isin(words)) if words else index.limit(0)
+    if "shard" in index.columns:
+        found = found.where(F.col("shard").isin(sorted({w[0] if "a" <= w[0] <= "z" else "_misc" for w in words}))) if words else found
+        found = found.drop("shard")
+    return found
+
+
+def clear(index: DataFrame) -> DataFrame:
+    """The empty index."""
+    return index.limit(0)
+
+
+def walk(index: DataFrame) -> DataFrame:
+    """All postings, word by word, in the order in which a stack gives a tree's words: descending; those of a word by url."""
+    return index.orderBy(F.col("word").desc(), "url")
 
 
 def last_written(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    """The last row of each key, by partial aggregates, so that a key of any number of rows is no group in a task."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(whole, order).alias("r")).select(*[F.col("r")[c].alias(c) for c in rows.columns])
+
+
+def upsert_metadata(stored_rows: DataFrame, rows: DataFrame, order: str = "ts") -> DataFrame:
+    """Page metadata by url, the last one written of each; title and snippet are cleaned again."""
+    new = rows.withColumns({c: sanitize(F.col(c)) for c in ("title", "snippet")})
+    return last_written(stored_rows.unionByName(new, allowMissingColumns=True).where("url <> ''"), "url", order)
 
 
-__all__ = ["bulk_upsert", "contains", "exact", "fold", "last_written", "lookup", "merge", "node_count", "postings", "prefix", "purge_origin", "starts_with", "vocabulary_size"]
+__all__ = ["bulk_upsert", "clear", "contains", "exact", "fold", "last_written", "lookup", "merge", "node_count", "only", "postings", "prefix", "purge_origin", "starts_with", "store", "stored", "upsert_metadata", "vocabulary_size", "walk"]

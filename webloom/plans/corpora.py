@@ -22,12 +22,12 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rows(spark, sf_dir).select("url", H.page_text(F.col("html")).alias("text"), "origin_url", "depth")
+    return H.parsed(page_rows(spark, sf_dir)).select("url", "text", "origin_url", "depth")
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_rows(spark, sf_dir)
-    return rows.select("url", H.page_title(F.col("html")).alias("title"), H.page_snippet(F.col("html")).alias("snippet"), "depth", F.col("origin_url").alias("origin"))
+    rows = H.parsed(page_rows(spark, sf_dir))
+    return rows.select("url", "title", "snippet", "depth", F.col("origin_url").alias("origin"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
