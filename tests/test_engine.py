@@ -46,7 +46,7 @@ def test_merge_is_additive_and_upsert_is_not(spark):
 def test_purge(spark):
     post = seeded(spark, [("only", "d1", 0, "doomed"), ("shared", "d2", 0, "doomed"), ("shared", "k", 0, "keeper")])
     left, removed = index.purge_origin(post, "doomed")
-    assert tuple(removed.first()) == (2, 1) and left.count() == 1
+    assert tuple(removed.first()) == (2, 1, 1) and left.count() == 1
 
 
 def test_purge_everything_linked_to_an_origin(spark):
@@ -85,7 +85,7 @@ def test_limit_is_a_top_k_and_the_word_filter_reaches_the_scan(spark, tmp_path):
 def test_frontier(spark):
     push = spark.createDataFrame([(i, f"http://h/{i}", 0) for i in range(5)] + [(9, "http://h/4#x", 1), (10, "", 0), (11, "http://h/z", -1)], "seq int, url string, depth int")
     assert [r.url for r in crawl.frontier(push, 3).collect()] == ["http://h/2", "http://h/3", "http://h/4"]
-    assert tuple(crawl.frontier_counts(push, 3).first()) == (5, 3, 2, 3, "Critical (Queue Full)")
+    assert crawl.frontier_counts(push, 3, "j").first().asDict() == {"job_id": "j", "pending": 3, "capacity": 3, "enqueued": 5, "dropped": 2, "popped": 0, "status": "Critical (Queue Full)", "seen": 5}
     got = spark.createDataFrame([(0,), (8,), (10,)], "p int").select(crawl.queue_status(F.col("p"), F.lit(10))).collect()
     assert [r[0] for r in got] == ["Healthy", "Back-pressure Active", "Critical (Queue Full)"]
 
@@ -95,6 +95,54 @@ def test_ttl(spark):
     assert rows(crawl.ttl_accept(visits, "k", "at")) == [("a", 0.0), ("a", 3600.0), ("a", 7200.0), ("b", 1.0)]
 
 
+def test_ttl_against_one_visit_at_a_time(spark):
+    """Many keys over many batches, null keys and times, ties, and a hot key."""
+    import random
+
+    rng = random.Random(1)
+    visits = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.choice([None, rng.randrange(3000) / 2])) for _ in range(3000)]
+    want, until = [], {}
+    for k, t in sorted((x for x in visits if x[1] is not None), key=lambda x: (str(x[0]), x[1])):
+        if until.get(k, float("-inf")) <= t:
+            want.append((k, t))
+            until[k] = t + 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = [tuple(r) for r in crawl.ttl_accept(spark.createDataFrame(visits, "k string, at double"), "k", "at", 40).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_numbered(spark):
+    from webloom.tables import numbered
+
+    df = spark.range(500).select((F.col("id") * 37 % 501).alias("x")).repartition(6)
+    assert [(r.x, r.n) for r in numbered(df, [F.col("x").desc()], "n").orderBy("n").collect()] == [(x, i) for i, x in enumerate(sorted((i * 37 % 501 for i in range(500)), reverse=True))]
+
+
+def test_stored_index_is_pruned_by_shard_and_word(spark, tmp_path):
+    post = seeded(spark, [(w, f"http://h/{i}", i, "o") for i, w in enumerate(["apple", "ant", "bee", "ıbm", "9x", "bee"])])
+    index.store(post, str(tmp_path / "i"))
+    kept = index.stored(spark, str(tmp_path / "i"))
+    plan = search.page(kept, "Bee IBM")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shard" in plan and "In(word, [bee,ıbm])" in plan
+    assert rows(search.page(kept, "Bee IBM").select("url")) == [("http://h/2",), ("http://h/3",), ("http://h/5",)]
+    assert rows(index.prefix(kept, "a").select("url")) == [("http://h/0",), ("http://h/1",)]
+    assert search.page(kept, "").count() == 0 and search.page(kept, "nothing").count() == 0
+    assert rows(kept.drop("shard")) == rows(post)
+
+
+def test_answer(spark):
+    post = seeded(spark, [("word", f"http://e/{d}", d, "o") for d in range(5)])
+    meta = spark.createDataFrame([("http://e/0", "T", "S")], "url string, title string, snippet string")
+    got = search.answer(post, meta, " Word ", 2, 4)
+    assert (got["query"], got["count"], got["total"], got["limit"], got["offset"]) == ("Word", 1, 5, 2, 4) and got["elapsed_ms"] >= 0
+    assert search.answer(post, meta, "  ") == {"query": "", "results": [], "limit": 10, "offset": 0, "count": 0, "total": 0}
+    with pytest.raises(ValueError):
+        search.answer(post, meta, "", 101)
+
+
 def test_unvisited(spark):
     from webloom.functions.urls import url_hash
 
@@ -105,14 +153,35 @@ def test_unvisited(spark):
 
 def test_crawl_two_pages(spark):
     pages = spark.createDataFrame([("http://h/", '<p>python</p><a href="/c">x</a><a href="/gone">y</a>'), ("http://h/c", '<p>python too</p><a href="/">b</a>'), ("http://o/", "z")], "url string, html string")
-    got = crawl.crawl(pages, "http://h", 2)
-    assert rows(got.select("url", "depth")) == [("http://h/", 0), ("http://h/c", 1)]
-    assert index.exact(index.postings(got), "python").count() == 2
-    assert crawl.crawl(pages, "http://h", 2, 1).count() == 1 and crawl.crawl(pages, "http://nowhere/").count() == 0
+    got = crawl.crawl(pages, "http://h", 2, now=100.0)
+    assert rows(got.pages.select("url", "depth", "place")) == [("http://h/", 0, 0), ("http://h/c", 1, 0)]
+    assert got.counts == {"crawled": 2, "skipped": 0, "failed": 1, "dropped": 0}
+    assert {r.expiry for r in got.visited.collect()} == {3700.0}
+    assert index.exact(index.postings(got.pages), "python").count() == 2
+    again = crawl.crawl(pages, "http://h", 2, visited=got.visited, now=3699.0)
+    assert again.pages.count() == 0 and again.counts["skipped"] == 1
+    assert crawl.crawl(pages, "http://h", 2, visited=got.visited, now=3700.0).pages.count() == 2
+    assert crawl.crawl(pages, "http://h", 2, 1).pages.count() == 1 and crawl.crawl(pages, "http://nowhere/").pages.count() == 0
+    assert crawl.crawl(pages, "http://localhost/").pages.count() == 0
     with pytest.raises(ValueError):
         crawl.crawl(pages, "http://h", 99)
 
 
+def test_crawl_order_budget_and_capacity(spark):
+    """Children of the first parent come first; a level over the capacity loses its oldest; pages that are not stored don't count."""
+    link = lambda *to: "".join(f"<a href='/{x}'>x</a>" for x in to)
+    pages = spark.createDataFrame([("http://h/", link("b", "a", "gone")), ("http://h/a", link("z", "y")), ("http://h/b", link("c", "z")), ("http://h/c", ""), ("http://h/y", ""), ("http://h/z", "")], "url string, html string")
+    order = lambda c: [r.url.removeprefix("http://h/") for r in c.pages.orderBy("depth", "place").collect()]
+    assert order(crawl.crawl(pages, "http://h/", 2)) == ["", "a", "b", "y", "z", "c"]
+    assert order(crawl.crawl(pages, "http://h/", 2, 4)) == ["", "a", "b", "y"]
+    small = crawl.crawl(pages, "http://h/", 1, capacity=2)
+    assert order(small) == ["", "b"] and small.counts == {"crawled": 2, "skipped": 0, "failed": 1, "dropped": 1}
+    assert crawl.checked({"max_depth": 2, "hit_rate": None}) == {"max_depth": 2, "hit_rate": 2.0, "max_capacity": 10_000, "max_urls": 1000}
+    for bad in ({"hit_rate": 0}, {"hit_rate": 101}, {"max_depth": -1}, {"max_urls": 0}):
+        with pytest.raises(ValueError):
+            crawl.checked(bad)
+
+
 def test_bfs_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c")], "src string, dst string")
     assert rows(crawl.bfs(edges, spark.createDataFrame([("a",)], "node string"), 9)) == [("a", 0), ("b", 1), ("c", 2)]
@@ -133,8 +202,28 @@ def test_delete_job(spark):
     left = state.delete_job("j1", jobs, archives, logs, seeded(spark, [("w", "http://d/", 0, "http://d/")]), meta, visited)
     assert left["jobs"].count() == 1 and rows(left["archives"]) == [(1, "j2", "completed"), (2, "j1", "deleted")]
     assert left["logs"].count() == left["index"].count() == left["metadata"].count() == 0
-    with pytest.raises(KeyError):
-        state.delete_job("nobody", jobs, archives, logs, seeded(spark, []), meta, visited)
+    assert left["known"] and tuple(left["removed"].first()) == (1, 1, 1, 0)
+    gone = state.delete_job("nobody", jobs, archives, logs, seeded(spark, [("w", "http://d/", 0, "http://d/")]), meta, visited)
+    assert not gone["known"] and gone["index"].count() == 1 and tuple(gone["removed"].first()) == (0, 0, 0, 0)
+    old = state.delete_job("j1", jobs.withColumn("live", F.lit(False)), archives, logs, seeded(spark, [("w", "http://d/", 0, "http://d/")]), meta, visited)
+    assert not old["known"] and old["archives"].count() == 1 and old["index"].count() == 0
+
+
+def test_status_labels_and_control(spark):
+    jobs = spark.createDataFrame([("a", 1.0, None), ("b", 1.0, None), ("c", 0.0, None), ("d", 1.0, 2.0), ("e", 1.0, 2.0)], "job_id string, started_at double, ended_at double")
+    told = spark.createDataFrame([(1, "a", "pause"), (2, "b", "pause"), (3, "b", "stop"), (4, "e", "stop"), (5, "z", "stop"), (6, "a", "resume"), (7, "a", "pause")], "seq int, job_id string, action string")
+    left, unknown = state.controlled(jobs, told)
+    assert {r.job_id: r.status for r in left.collect()} == {"a": "paused", "b": "running", "c": "idle", "d": "completed", "e": "stopped"}
+    assert rows(unknown) == [("z",)]
+
+
+def test_history_page(spark):
+    past = spark.createDataFrame([(i, f"j{i}") for i in range(5)], "place int, job_id string")
+    got, count = state.history_page(past, 2)
+    assert [r.place for r in got.collect()] == [4, 3] and count.first()[0] == 5
+    for bad in (0, 1001):
+        with pytest.raises(ValueError):
+            state.history_page(past, bad)
 
 
 def test_flat_files(spark, tmp_path):
@@ -142,7 +231,7 @@ def test_flat_files(spark, tmp_path):
     path = str(tmp_path / "s")
     assert rows(flatfile.export_postings(post, path)) == [("_misc", 1), ("a", 1)]
     assert rows(flatfile.import_postings(spark, path)) == rows(post)
-    flatfile.export_postings(post.where("word = 'apple'"), path)
+    assert rows(flatfile.export_postings(post.where("word = 'apple'"), path)) == [("_misc", 0), ("a", 1)]
     assert not list((tmp_path / "s").glob("shard=_misc"))
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.data").write_text("w\tu\to\t1\t2\nw\tu\to\t1\t3\nbad\nw\tv\to\tx\t1\n\tu\to\t1\t1\nw\tz\to\t1\t0\n")
@@ -152,7 +241,8 @@ def test_flat_files(spark, tmp_path):
 def test_snapshot(spark, tmp_path):
     jobs = spark.createDataFrame([("j", 1.5)], "job_id string, ts double")
     flatfile.save_snapshot({"jobs": jobs}, str(tmp_path))
-    (tmp_path / "jobs" / "damaged.json").write_text("{not json\n")
+    (tmp_path / "jobs" / "version=0" / "damaged.json").write_text("{not json\n")
+    (tmp_path / "jobs" / "version=1").mkdir()  # not committed
     got = flatfile.load_snapshot(spark, str(tmp_path), {"jobs": jobs.schema, "missing": jobs.schema})
     assert rows(got["jobs"]) == [("j", 1.5)] and got["missing"].count() == 0
 
@@ -164,37 +254,61 @@ def test_stream_counts_a_replayed_batch_once(spark, tmp_path):
     for check in ("c1", "c2"):  # a lost checkpoint replays batch 0
         ingest.index_stream(spark.readStream.schema(corpus.schema).parquet(str(src)), out, str(tmp_path / check)).awaitTermination()
     assert rows(ingest.read_index(spark, out)) == rows(index.postings(corpus))
+    (tmp_path / "out" / "batch=7").mkdir()  # a batch whose writer has not finished
+    assert rows(ingest.read_index(spark, out)) == rows(index.postings(corpus))
     ingest.compact(spark, out, str(tmp_path / "done"))
-    assert spark.read.parquet(str(tmp_path / "done")).count() == 2
+    assert index.stored(spark, str(tmp_path / "done")).count() == 2
+    ingest.close_gate(spark, str(tmp_path / "shut"))
+    ingest.index_stream(spark.readStream.schema(corpus.schema).parquet(str(src)), str(tmp_path / "shut"), str(tmp_path / "c3")).awaitTermination()
+    assert ingest.read_index(spark, str(tmp_path / "shut")).count() == 0
 
 
-def drained(spark, stream, name, mode, n, folder):
-    """The first n rows of a query; expiring state keeps it running, so it is stopped then."""
-    import time
+def test_first_origin_is_of_the_earliest_batch(spark, tmp_path):
+    for n, origin in ((2, "z"), (10, "a")):
+        index.postings(spark.createDataFrame([("http://h/", "w", origin, n)], "url string, text string, origin_url string, depth int")).write.parquet(str(tmp_path / f"batch={n}"))
+    assert rows(ingest.read_index(spark, str(tmp_path))) == [("w", "http://h/", "z", 2, 2)]
 
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder)).start()
+
+def drained(spark, stream, mode, n, folder):
+    """All rows of a query over a source that ends."""
+    got = []
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
-        end = time.time() + 60
-        while spark.table(name).count() < n and time.time() < end and q.isActive:
-            time.sleep(0.3)
+        q = stream.writeStream.foreachBatch(lambda batch, _: got.extend(tuple(r) for r in batch.collect())).outputMode(mode).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+        q.awaitTermination(90)
         assert q.exception() is None
-        return rows(spark.table(name))
+        assert len(got) == n
+        return sorted(got)
     finally:
-        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_stateful_ttl(spark, tmp_path):
-    visits = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("a", 3600.0), ("b", 5.0)], "k string, at double")
-    visits.write.parquet(str(tmp_path / "v"))
-    stream = ingest.ttl_stream(spark.readStream.schema(visits.schema).parquet(str(tmp_path / "v")), "k", "at")
-    assert drained(spark, stream, "ttl", "append", 3, tmp_path / "c") == [("a", 0.0), ("a", 3600.0), ("b", 5.0)]
+    """By the visits' own time, from batch to batch; a key whose time has passed is forgotten and accepted anew."""
+    source = spark.readStream.schema("k string, at double").option("maxFilesPerTrigger", 1)
+    day, got = 86_400.0, []
+    for n, visits in enumerate(([("a", 0), ("a", 10), ("a", 3600), ("b", 5)], [("a", 7199), ("a", 7200), ("b", 3000)], [("c", 90_000)], [("a", 90_001)])):
+        spark.createDataFrame([(k, day + t) for k, t in visits], "k string, at double").coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+        want = {0: 3, 1: 1, 2: 1, 3: 1}[n]
+        got += drained(spark, ingest.ttl_stream(source.parquet(str(tmp_path / "v")), "k", "at"), "append", want, tmp_path / "c")
+    assert [(k, t - day) for k, t in got] == [("a", 0.0), ("a", 3600.0), ("b", 5.0), ("a", 7200.0), ("c", 90_000.0), ("a", 90_001.0)]
 
 
 def test_stateful_queue(spark, tmp_path):
     ops = spark.createDataFrame([(1, i, "push", f"u{i}", 0) for i in range(5)] + [(1, 5, "push", "u0", 0), (1, 6, "pop", "", 0)], "job_id long, seq int, op string, url string, depth int")
     ops.write.parquet(str(tmp_path / "o"))
     stream = ingest.queue_stream(spark.readStream.schema(ops.schema).parquet(str(tmp_path / "o")), 3)
-    assert drained(spark, stream, "queue", "update", 1, tmp_path / "c") == [(1, 2, 5, 1, 2, "u3")]
+    assert drained(spark, stream, "update", 1, tmp_path / "c") == [(1, 2, 3, 5, 1, 2, "Healthy", 5, 0, "u3")]
+
+
+def test_stateful_queue_clears_and_remembers(spark, tmp_path):
+    """Two batches: what was seen in the first stays refused after a clear in the second."""
+    source = spark.readStream.schema("job_id long, seq int, op string, url string, depth int").option("maxFilesPerTrigger", 1)
+    for n, ops in enumerate(([(1, 0, "push", "a", 0), (1, 1, "push", "b", 0)], [(1, 2, "clear", "", 0), (1, 3, "push", "a", 0), (1, 4, "push", "c", 1), (1, 5, "pop", "", 0), (1, 6, "pop", "", 0)])):
+        spark.createDataFrame(ops, "job_id long, seq int, op string, url string, depth int").coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+        stream = ingest.queue_stream(source.parquet(str(tmp_path / "o")), 3)
+        got = drained(spark, stream, "update", 1, tmp_path / "c")
+    assert got == [(1, 0, 3, 3, 1, 0, "Healthy", 3, 2, None)]
 
 
 def test_status_tone(spark):

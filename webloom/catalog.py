@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom import tables
 from webloom.functions import html as H
 from webloom.functions import text as X
+from webloom.engine import Engine
 from webloom.functions import urls as U
 from webloom.operators import crawl, index, search, state
 from webloom.plans import corpora
@@ -39,8 +39,14 @@ def sql_tokens(c: str) -> str:
     return rf"list_filter(regexp_split_to_array({FOLD.format(c=c)}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
+#: What the SQL side decodes, leaves out and sets apart, written out by itself (fixed lists).
+SQL_REFERENCES = (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&apos;", "'"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"))
+SQL_BLOCKS = "p|br|div|section|article|header|footer|h1|h2|h3|h4|h5|h6|li|ul|ol|dd|dt|dl|tr|td|th|table|pre|blockquote"
+SQL_SKIPS = ("nav", "header", "footer", "a")
+
+
 def sql_unescape(c: str) -> str:
-    for pattern, text in H.REFERENCES:
+    for pattern, text in SQL_REFERENCES:
         text = text.replace("'", "''")
         c = f"regexp_replace({c}, '{pattern}', '{text}', 'g')"
     return c
@@ -48,24 +54,27 @@ def sql_unescape(c: str) -> str:
 
 def sql_removed(c: str) -> str:
     for tag in ("script", "style", "title"):
-        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)', ' ', 'g')"
-    return rf"regexp_replace({c}, '(?is)<!--.*?(?:-->|$)|<!doctype[^>]*>', ' ', 'g')"
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)', '', 'g')"
+    return rf"regexp_replace({c}, '(?is)<!--.*?(?:-->|$)|<!doctype[^>]*>', '', 'g')"
 
 
-BLOCK_TAGS = rf"(?is)</?(?:{H.BLOCK_RE})\b[^>]*>"
+BLOCK_TAGS = rf"(?is)</?(?:{SQL_BLOCKS})\b[^>]*>"
 PAGE_TEXT = SANITIZE.format(c=sql_unescape(f"regexp_replace(regexp_replace({sql_removed('html')}, '{BLOCK_TAGS}', ' ', 'g'), '(?s)<[^>]+>', '', 'g')"))
 PAGE_TITLE = "substr(" + SANITIZE.format(c=sql_unescape(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)(?:</title\s*>|$)', 1)")) + ", 1, 200)"
 
 
 def sql_snippet() -> str:
     c = sql_removed("html")
-    for tag in H.SNIPPET_SKIPS:
+    for tag in SQL_SKIPS:
         c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     c = rf"array_to_string(regexp_extract_all({c}, '(?is)<p\b[^>]*>.*?(?:</p>|$)'), '')"
-    c = rf"regexp_replace(regexp_replace({c}, '(?is)<(?:{H.BLOCK_RE})\b[^>]*>', ' ', 'g'), '(?s)<[^>]+>', '', 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '(?is)<(?:{SQL_BLOCKS})\b[^>]*>', ' ', 'g'), '(?s)<[^>]+>', '', 'g')"
     return SANITIZE.format(c=sql_unescape(c))
 
 
+SNIPPET = f"(SELECT CASE WHEN len(t) > 200 THEN rtrim(substr(t, 1, 200)) || '...' ELSE t END FROM (SELECT {sql_snippet()} AS t))"
+
+
 U_RAW = "trim(url)"
 URL_PARTS = r"'^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
 URL_CTE = rf"""
@@ -90,8 +99,29 @@ RANKED = "SELECT url, origin_url, depth, frequency, 10 * frequency + 1000 - 5 *
 AT = "epoch_us(ts) / 1000000.0"
 
 
-def ranked_page(corpus: DataFrame, text: str, limit: int, offset: int) -> DataFrame:
-    return search.page(index.postings(corpus), text, limit, offset).select("url", "origin_url", "depth", "frequency", F.col("relevance_score").cast("long").alias("relevance_score"))
+#: Stored indexes of this process: a corpus of a folder of tables, as one session built it.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
+    """The index of the documents, pages or conversations, built when it is first asked for, then looked up in its table."""
+    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    if key not in _STORED or not tables.exists(spark, f"{_STORED[key]}/_SUCCESS"):
+        path = tables.new_path(spark)
+        index.store(index.postings(getattr(corpora, corpus)(spark, sf_dir)), path)
+        _STORED[key] = path
+    return index.stored(spark, _STORED[key])
+
+
+@query("index_build", f"WITH {DOCS_CTE}, {POST_CTE} SELECT count(*) AS postings, count(DISTINCT word) AS words FROM post")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of the documents, built anew."""
+    _STORED.pop((spark.sparkContext.applicationId, sf_dir, "documents"), None)
+    return stored(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("word").alias("words"))
+
+
+def ranked_page(found: DataFrame, text: str, limit: int, offset: int) -> DataFrame:
+    return search.page(found, text, limit, offset).select("url", "origin_url", "depth", "frequency", F.col("relevance_score").cast("long").alias("relevance_score"))
 
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -99,22 +129,22 @@ def ranked_page(corpus: DataFrame, text: str, limit: int, offset: int) -> DataFr
 
 @query("search_pages", f"WITH {PAGES_CTE}, {POST_CTE}, {sql_hits(['the', 'and', 'the'])} {RANKED} LIMIT 10 OFFSET 5")
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_page(corpora.pages(spark, sf_dir), "The and THE!", 10, 5)
+    return ranked_page(stored(spark, sf_dir, "pages"), "The and THE!", 10, 5)
 
 
 @query("search_documents_multiword", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['the', 'of', 'the', 'ing'])} {RANKED} LIMIT 20")
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_page(corpora.documents(spark, sf_dir), "the of the ing", 20, 0)
+    return ranked_page(stored(spark, sf_dir, "documents"), "the of the ing", 20, 0)
 
 
 @query("search_conversations_page2", f"WITH {CONV_CTE}, {POST_CTE}, {sql_hits(['la', 'de'])} {RANKED} LIMIT 10 OFFSET 10")
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_page(corpora.conversations(spark, sf_dir), "la de", 10, 10)
+    return ranked_page(stored(spark, sf_dir, "conversations"), "la de", 10, 10)
 
 
 @query("search_total", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['the', 'die'])} SELECT count(*) AS total FROM hits")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.total(index.postings(corpora.documents(spark, sf_dir)), "the die")
+    return search.total(stored(spark, sf_dir, "documents"), "the die")
 
 
 @query(
@@ -123,18 +153,18 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT best.*, coalesce(title, '') AS title, coalesce(CASE WHEN len(snip) > 200 THEN rtrim(substr(snip, 1, 200)) || '...' ELSE snip END, '') AS snippet FROM best LEFT JOIN s ON best.url = s.url",
 )
 def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked_page(corpora.pages(spark, sf_dir), "the", 10, 0)
+    rows = ranked_page(stored(spark, sf_dir, "pages"), "the", 10, 0)
     return search.hydrate(rows, corpora.page_metadata(spark, sf_dir))
 
 
 @query("search_miss_empty", f"WITH {DOCS_CTE}, {POST_CTE}, {sql_hits(['zzzznothing'])} {RANKED}")
 def search_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_page(corpora.documents(spark, sf_dir), "zzzznothing", 100, 0)
+    return ranked_page(stored(spark, sf_dir, "documents"), "zzzznothing", 100, 0)
 
 
 @query("prefix_search", f"WITH {DOCS_CTE}, {POST_CTE} SELECT url, CAST(sum(term_frequency) AS BIGINT) AS term_frequency, min(depth) AS depth, min(origin_url) AS origin_url FROM post WHERE starts_with(word, 'thi') GROUP BY url")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.prefix(index.postings(corpora.documents(spark, sf_dir)), " Thi".replace("Thi", "thi"))
+    return index.prefix(stored(spark, sf_dir, "documents"), " thi")
 
 
 WORDS = ("the", "und", "zzzz", "the ", "la", "ISTANBUL", "ing")
@@ -143,12 +173,12 @@ WORDS_SQL = "w(word) AS (VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ")"
 
 @query("contains_words", f"WITH {DOCS_CTE}, {POST_CTE}, {WORDS_SQL} SELECT word, {FOLD.format(c='trim(word)')} IN (SELECT word FROM post) AS found FROM w")
 def contains_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.contains(index.postings(corpora.documents(spark, sf_dir)), spark.createDataFrame([(w,) for w in WORDS], "word string"))
+    return index.contains(stored(spark, sf_dir, "documents"), spark.createDataFrame([(w,) for w in WORDS], "word string"))
 
 
 @query("starts_with_flags", f"WITH {DOCS_CTE}, {POST_CTE}, {WORDS_SQL} SELECT w.word AS prefix, coalesce(bool_or(starts_with(post.word, {FOLD.format(c='trim(w.word)')})), false) AS found FROM w CROSS JOIN (SELECT DISTINCT word FROM post) post GROUP BY w.word")
 def starts_with_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.starts_with(index.postings(corpora.documents(spark, sf_dir)), spark.createDataFrame([(w,) for w in WORDS], "prefix string"))
+    return index.starts_with(stored(spark, sf_dir, "documents"), spark.createDataFrame([(w,) for w in WORDS], "prefix string"))
 
 
 # --- text, index ---------------------------------------------------------------------------------------------------
@@ -172,12 +202,12 @@ def postings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vocabulary_size", f"WITH {DOCS_CTE}, {POST_CTE} SELECT count(DISTINCT word) AS words FROM post")
 def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.vocabulary_size(index.postings(corpora.documents(spark, sf_dir)))
+    return index.vocabulary_size(stored(spark, sf_dir, "documents"))
 
 
 @query("node_count", f"WITH {DOCS_CTE}, {POST_CTE}, w AS (SELECT DISTINCT word FROM post), p AS (SELECT DISTINCT substr(word, n, 1000) AS x FROM w, (SELECT 1 AS n)), pre AS (SELECT DISTINCT substr(word, 1, k) AS x FROM (SELECT word, unnest(range(1, len(word) + 1)) AS k FROM w)) SELECT count(*) + 1 AS nodes FROM pre")
 def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.node_count(index.postings(corpora.documents(spark, sf_dir)))
+    return index.node_count(stored(spark, sf_dir, "documents"))
 
 
 @query("bulk_upsert_last_wins", "SELECT event_type AS word, 'user/' || CAST(user_id AS VARCHAR) AS url, 'e' || CAST(arg_max(event_id, event_id) AS VARCHAR) AS origin_url, CAST(arg_max(event_id % 7, event_id) AS INTEGER) AS depth, CAST(arg_max(event_id % 11, event_id) AS BIGINT) AS term_frequency FROM events GROUP BY ALL")
@@ -189,13 +219,12 @@ def bulk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("incremental_merge_additive", f"WITH {DOCS_CTE}, {POST_CTE} SELECT * FROM post")
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.documents(spark, sf_dir)
-    return index.merge(index.postings(docs.where("doc_id % 2 = 0")), index.postings(docs.where("doc_id % 2 = 1")))
+    return index.postings_of(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
 
 
 @query("purge_by_origin", f"WITH {DOCS_CTE}, {POST_CTE}, w AS (SELECT word, count(*) FILTER (origin_url = 'doc://src1') AS gone, bool_and(origin_url = 'doc://src1') AS dead FROM post GROUP BY word) SELECT CAST(sum(gone) AS BIGINT) AS postings_removed, count(*) FILTER (dead) AS words_unindexed, (SELECT count(*) FROM post WHERE origin_url <> 'doc://src1') AS postings_left FROM w")
 def purge_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, removed = index.purge_origin(index.postings(corpora.documents(spark, sf_dir)), "doc://src1")
-    return removed.join(left.agg(F.count(F.lit(1)).alias("postings_left")))
+    return index.purge_origin(stored(spark, sf_dir, "documents"), "doc://src1")[1]
 
 
 SEED_SQL = "(SELECT min(origin_url) FROM u)"
@@ -219,23 +248,53 @@ def purge_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_text_stats", f"SELECT page_id, CAST(len({PAGE_TEXT}) AS BIGINT) AS n_chars, sha256({PAGE_TEXT}) AS digest FROM pages")
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpora.table(spark, sf_dir, "pages").select("page_id", H.page_text(F.col("html")).alias("t"))
-    return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+    rows = H.parsed(corpora.table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
 @query("page_titles", f"SELECT page_id, {PAGE_TITLE} AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.table(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+    return H.parsed(corpora.table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
-@query("page_snippets", f"WITH s AS (SELECT page_id, {sql_snippet()} AS t FROM pages) SELECT page_id, CASE WHEN len(t) > 200 THEN rtrim(substr(t, 1, 200)) || '...' ELSE t END AS snippet FROM s")
+@query("page_snippets", f"SELECT page_id, {SNIPPET} AS snippet FROM pages")
 def page_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.table(spark, sf_dir, "pages").select("page_id", H.page_snippet(F.col("html")).alias("snippet"))
+    return H.parsed(corpora.table(spark, sf_dir, "pages")).select("page_id", "snippet")
 
 
-@query("page_links", rf"SELECT DISTINCT url AS src, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) || h AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)) AS h FROM pages)")
+LINKS_SQL = r"SELECT DISTINCT url AS src, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) || h AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)) AS h FROM pages)"
+
+
+@query("page_links", LINKS_SQL)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.table(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(H.page_links(F.col("url"), F.col("html"))).alias("dst"))
+    return H.parsed(corpora.table(spark, sf_dir, "pages")).select(F.col("url").alias("src"), F.explode("links").alias("dst"))
+
+
+@query("parse_documents", f"SELECT page_id, {PAGE_TITLE} AS title, sha256({PAGE_TEXT}) AS text, {SNIPPET} AS snippet, (SELECT count(DISTINCT h) FROM (SELECT unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)) AS h)) AS n_links FROM pages")
+def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the tolerant parser."""
+    rows = corpora.table(spark, sf_dir, "pages").select("page_id", H.parse_pages("url", "html").alias("p"))
+    return rows.select("page_id", "p.title", F.sha2("p.text", 256).alias("text"), "p.snippet", F.size("p.links").cast("long").alias("n_links"))
+
+
+#: Odd markup, and what a parser makes of it: title, text, snippet, number of links.
+SOUP = (
+    ("<title>T</title><p>caf&eacute; &#8217; &euro; &mdash; &#x41;&hellip;</p>", "T", "café ’ € — A…", "café ’ € — A…", 0),
+    ("<nav><nav>a</nav><p>hid</p></nav><p>b</p>", "", "a hid b", "b", 0),
+    ("<p>a <a href='/x'>link <p>more", "", "a link more", "a", 1),
+    ("<a href='/a b'>x</a><a data-href='/no' href=/c>y</a>", "", "xy", "", 2),
+    ("<p>a<nav><div>x</div></nav>b</p>", "", "a x b", "ab", 0),
+    ("a<!-- c -->b<script>if (a<b) x()</script>c", "", "abc", "", 0),
+    ("<div title='a > b'>t</div><my-a>u</my-a>", "", "t u", "", 0),
+    ("1 < 2 and 3 > 2", "", "1 2", "", 0),
+    ("", "", "", "", 0),
+)
+
+
+@query("parse_tag_soup", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in (i, *row[1:])) + ")" for i, row in enumerate(SOUP)) + ") AS t(nth, title, text, snippet, n_links)")
+def parse_soup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, "http://h/", row[0]) for i, row in enumerate(SOUP)], "nth int, url string, html string")
+    return H.parsed(rows).select("nth", "title", "text", "snippet", F.size("links").alias("n_links"))
 
 
 @query("url_normalize", f"WITH {URL_CTE} SELECT page_id, url FROM u")
@@ -253,6 +312,7 @@ URL_CASES = (
     ("https://example.com/a", True), ("ftp://example.com/", False), ("http://localhost/", False), ("http://127.0.0.1/", False), ("http://10.2.3.4:8080/x", False),
     ("http://172.20.0.1/", False), ("http://172.32.0.1/", True), ("http://192.168.9.9/", False), ("http://169.254.169.254/latest", False), ("http://8.8.8.8/", True),
     ("http://224.0.0.1/", False), ("http://0.0.0.0/", False), ("http://[::1]/", False), ("http://[fe80::1%25eth0]/", False), ("http://[2606:4700::1111]/", True),
+    ("http://127.1/", False), ("http://0x7f000001/", False), ("http://2130706433/", False), ("http://[0:0:0:0:0:0:0:1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("http://[2001:db8::1]/", False),
     ("", False), ("http:///x", False), ("HTTPS://EXAMPLE.org", True), ("http://metadata.google.internal/", False), ("http://[fd00:ec2::254]/", False),
 )
 
@@ -268,19 +328,12 @@ def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shard_counts", f"WITH {DOCS_CTE}, {POST_CTE} SELECT CASE WHEN regexp_matches(substr(word, 1, 1), '^[a-z]$') THEN substr(word, 1, 1) ELSE '_misc' END AS shard, count(*) AS records FROM post GROUP BY 1")
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatfile.shard_counts(index.postings(corpora.documents(spark, sf_dir)))
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base.rstrip('/')}/webloom-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="webloom-")
+    return flatfile.shard_counts(stored(spark, sf_dir, "documents"))
 
 
 @query("export_import_roundtrip", f"WITH {CONV_CTE}, {POST_CTE} SELECT word, url, origin_url, depth, term_frequency FROM post")
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark) + "/shards"
+    path = tables.new_path(spark) + "/shards"
     flatfile.export_postings(index.postings(corpora.conversations(spark, sf_dir)), path)
     return flatfile.import_postings(spark, path)
 
@@ -300,9 +353,9 @@ def frontier_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.frontier(pushes(spark, sf_dir), 100)
 
 
-@query("frontier_counts", f"WITH {PUSH_SQL}, n AS (SELECT count(DISTINCT url) AS enqueued FROM push) SELECT enqueued, least(enqueued, 100) AS pending, enqueued - least(enqueued, 100) AS dropped, CAST(100 AS BIGINT) AS capacity, CASE WHEN least(enqueued, 100) >= 100 THEN 'Critical (Queue Full)' WHEN least(enqueued, 100) >= 80 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status FROM n")
+@query("frontier_counts", f"WITH {PUSH_SQL}, n AS (SELECT count(DISTINCT url) AS enqueued FROM push) SELECT 'j1' AS job_id, enqueued, least(enqueued, 100) AS pending, enqueued - least(enqueued, 100) AS dropped, CAST(100 AS BIGINT) AS capacity, CAST(0 AS BIGINT) AS popped, enqueued AS seen, CASE WHEN least(enqueued, 100) >= 100 THEN 'Critical (Queue Full)' WHEN least(enqueued, 100) >= 80 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status FROM n")
 def frontier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.frontier_counts(pushes(spark, sf_dir), 100)
+    return crawl.frontier_counts(pushes(spark, sf_dir), 100, "j1")
 
 
 @query("queue_status_labels", "SELECT user_id, pending, CASE WHEN pending >= 80 THEN 'Critical (Queue Full)' WHEN pending >= 0.8 * 80 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status FROM (SELECT user_id, least(count(*), 80) AS pending FROM events GROUP BY user_id)")
@@ -355,12 +408,12 @@ def seeds(spark: SparkSession) -> DataFrame:
 
 @query("bfs_crawl", f"WITH {LEVEL_SQL} SELECT node, depth FROM reached")
 def bfs_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.bfs(crawl.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2)
+    return crawl.bfs(tables.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2)
 
 
-@query("bfs_budget", f"WITH {LEVEL_SQL} SELECT node, depth FROM reached ORDER BY depth, node LIMIT 60")
+@query("bfs_budget", f"WITH {LEVEL_SQL} SELECT node, depth FROM (SELECT 0 AS depth, 0 AS parent, node FROM l0 UNION ALL SELECT 1, 0, node FROM l1 UNION ALL SELECT 2, min(o.place), l2.node FROM l2 JOIN g ON g.dst = l2.node JOIN (SELECT node, row_number() OVER (ORDER BY node) AS place FROM l1) o ON g.src = o.node GROUP BY l2.node) ORDER BY depth, parent, node LIMIT 60")
 def bfs_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.bfs(crawl.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2, 60)
+    return crawl.bfs(tables.cut(corpora.supplier_part_edges(spark, sf_dir)), seeds(spark), 2, 60)
 
 
 JOBS_SQL = f"jobs AS (SELECT user_id AS job_id, count(*) AS crawled, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click') AS dropped, min({AT}) AS started_at, CASE WHEN user_id % 2 = 0 THEN max({AT}) END AS ended_at, user_id % 5 = 0 AS paused FROM events GROUP BY user_id)"
@@ -414,7 +467,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.concat(F.lit("conv://"), F.col("conv_id").cast("string"))
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
     corpus = rows.select(F.concat(place, F.lit("/"), F.col("turn").cast("string")).alias("url"), "text", place.alias("origin_url"), F.col("turn").cast("int").alias("depth"))
-    folder = _folder(spark)
+    folder = tables.new_path(spark)
     ingest.index_stream(corpus, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
     return ingest.read_index(spark, f"{folder}/index")
 
@@ -428,13 +481,307 @@ FROM post JOIN df ON post.word = df.word JOIN len ON post.url = len.url, s GROUP
 @query("bm25", BM25_SQL)
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: BM25 scores of two words."""
-    post = index.postings(corpora.documents(spark, sf_dir))
+    post = stored(spark, sf_dir, "documents")
     lens = post.groupBy("url").agg(F.sum("term_frequency").alias("dl"))
     stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = post.where(F.col("word").isin("the", "thing"))
+    found = index.only(post, ["the", "thing"])
     df = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rows = found.join(F.broadcast(df), "word").join(lens, "url").join(F.broadcast(stats))
     tf = F.col("term_frequency")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     one = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("url").agg(F.round(F.sum(one), 6).alias("bm25"))
+
+
+# --- more of the index and of lookups ------------------------------------------------------------------------------
+
+
+@query("index_walk", f"WITH {CONV_CTE}, {POST_CTE} SELECT word, url, origin_url, depth, term_frequency FROM post")
+def index_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.walk(stored(spark, sf_dir, "conversations")).select("word", "url", "origin_url", "depth", "term_frequency")
+
+
+@query("index_clear", "SELECT CAST(0 AS BIGINT) AS words")
+def index_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.vocabulary_size(index.clear(stored(spark, sf_dir, "conversations")))
+
+
+@query("index_compaction", f"WITH {CONV_CTE}, {POST_CTE} SELECT word, url, origin_url, depth, term_frequency FROM post WHERE word = 'la'")
+def index_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three additive batches, read as one index, stored by shard, and looked up there."""
+    folder, docs = tables.new_path(spark), corpora.conversations(spark, sf_dir)
+    for n in range(3):
+        tables.write(index.postings(docs.where(F.pmod(F.xxhash64("url"), F.lit(3)) == n)), f"{folder}/batch={n}")
+    ingest.compact(spark, folder, f"{folder}/stored")
+    return index.exact(index.stored(spark, f"{folder}/stored"), " LA ").drop("shard")
+
+
+@query("metadata_upsert", f"WITH {URL_CTE} SELECT url, CASE WHEN bool_or(page_id % 2 = 0) THEN 'b c' ELSE 'old' END AS title, CAST(CASE WHEN bool_or(page_id % 2 = 0) THEN 2 ELSE 1 END AS DOUBLE) AS ts FROM u GROUP BY url")
+def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.page_rows(spark, sf_dir).withColumn("snippet", F.lit(""))
+    old = rows.select("url", F.lit("old").alias("title"), "snippet", F.lit(1.0).alias("ts"))
+    new = rows.where("page_id % 2 = 0").select("url", F.lit("<i>b</i>\n c").alias("title"), "snippet", F.lit(2.0).alias("ts"))
+    return index.upsert_metadata(old, new).select("url", "title", "ts")
+
+
+@query("lookup_precedence", f"WITH {DOCS_CTE}, {POST_CTE} SELECT true AS exact_only, count(*) AS urls FROM post WHERE word = 'the' UNION ALL SELECT false, count(DISTINCT url) FROM post WHERE starts_with(word, 'the')")
+def lookup_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = stored(spark, sf_dir, "documents")
+    count = lambda flag, **how: index.lookup(post, "the", exact_only=flag, **how).agg(F.lit(flag).alias("exact_only"), F.count(F.lit(1)).alias("urls"))
+    return count(True, prefix_too=True).unionByName(count(False))
+
+
+@query("field_codec", r"SELECT doc_id, sha256(replace(replace(replace(replace(coalesce(text, ''), '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n')) AS encoded, sha256(coalesce(text, '')) AS decoded FROM documents")
+def field_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = X.encode_field(F.coalesce(F.col("text"), F.lit("")))
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", X.sha256_hex(text).alias("encoded"), X.sha256_hex(X.decode_field(text)).alias("decoded"))
+
+
+@query("snapshot_roundtrip", f"WITH {JOBS_SQL} SELECT job_id, crawled, errors, paused, 'missing' AS other FROM jobs")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = jobs(spark, sf_dir), tables.new_path(spark)
+    flatfile.save_snapshot({"jobs": rows.withColumn("unknown", F.lit(1))}, path)
+    flatfile.save_snapshot({"jobs": rows.withColumn("unknown", F.lit(2))}, path)
+    got = flatfile.load_snapshot(spark, path, {"jobs": rows.schema, "gone": rows.schema})
+    return got["jobs"].select("job_id", "crawled", "errors", "paused", F.lit("missing" if got["gone"].isEmpty() else "there").alias("other"))
+
+
+# --- URLs, fetching and crawling -------------------------------------------------------------------------------------
+
+RESOLVE_CASES = (("/a", "http://h/a"), ("b?x=1#f", "http://h/d/b?x=1"), ("../c", "http://h/c"), ("//o/z", "http://o/z"), ("https://k/y#q", "https://k/y"), ("#top", "http://h/d/e?p=2"), ("?n=3", "http://h/d/e?n=3"), ("./f/./g/..", "http://h/d/f/"))
+
+
+@query("url_join", "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{u}')" for h, u in RESOLVE_CASES) + ") AS t(href, url)")
+def url_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h, _ in RESOLVE_CASES], "href string").select("href", U.resolve(F.lit("http://h/d/e?p=2"), F.col("href")).alias("url"))
+
+
+@query("url_addresses", f"WITH {URL_CTE} SELECT page_id, length(host1) % 3 = 1 AS ok FROM u")
+def url_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts against a table of their addresses: some have one that is not public, some none at all."""
+    pages = corpora.page_rows(spark, sf_dir).withColumn("h", U.host(F.col("url")))
+    hosts = pages.select(F.col("h").alias("host"), (F.length("h") % 3).alias("n")).distinct()
+    public = hosts.where("n > 0").select("host", F.lit("93.184.216.34").alias("address"))
+    known = public.unionByName(hosts.where("n = 2").select("host", F.lit("fe80::1").alias("address"))).unionByName(hosts.where("n = 1").select("host", F.lit("2606:4700::1").alias("address")))
+    return U.resolved(pages, known).select("page_id", "ok")
+
+
+@query("fetched_responses", "SELECT page_id, sha256(html) AS html FROM pages WHERE page_id % 3 <> 2")
+def fetched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("page_id") % 3 == 0, "text/HTML; charset=utf-8").when(F.col("page_id") % 3 == 1, "application/xhtml+xml").otherwise("image/png")
+    rows = corpora.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.lit(None).cast("string").alias("final_url"), kind.alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+    return crawl.readable(rows).select(F.col("url").cast("long").alias("page_id"), F.sha2("html", 256).alias("html"))
+
+
+@query("unvisited_frontier", f"WITH {URL_CTE} SELECT page_id, url FROM u WHERE url NOT IN (SELECT url FROM u WHERE page_id % 3 = 1)")
+def unvisited_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.page_rows(spark, sf_dir)
+    seen = rows.where("page_id % 3 < 2").select(U.url_hash(F.col("url")).alias("url_hash"), (F.col("page_id") % 3 * 100 + 50.0).alias("expiry"))
+    return crawl.unvisited(rows.select("page_id", "url"), seen, F.lit(100.0))
+
+
+@query("frontier_pages", f"WITH {URL_CTE} SELECT url, sha256(html) AS html FROM u WHERE url IN (SELECT url FROM u WHERE page_id % 2 = 0)")
+def frontier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.page_rows(spark, sf_dir)
+    frontier = rows.where("page_id % 2 = 0").select("url").distinct().unionByName(rows.select(F.concat("url", F.lit("/gone")).alias("url")))
+    return crawl.fetched(rows.select("url", "html"), frontier).select("url", F.sha2("html", 256).alias("html"))
+
+
+@query("enqueue_children", f"SELECT DISTINCT dst AS url FROM ({LINKS_SQL})")
+def enqueue_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = H.parsed(corpora.table(spark, sf_dir, "pages")).select(F.explode("links").alias("url"))
+    return crawl.children(links.unionByName(spark.createDataFrame([("ftp://h/x",), ("http://127.0.0.1/",), ("",), (None,)], "url string")))
+
+
+CRAWL_SQL = f"""WITH {LEVEL_SQL}, o1 AS (SELECT node, row_number() OVER (ORDER BY node) AS place FROM l1),
+c AS (SELECT 0 AS depth, 0 AS parent, node FROM l0 UNION ALL SELECT 1, 0, node FROM l1 UNION ALL SELECT 2, min(o1.place), l2.node FROM l2 JOIN g ON g.dst = l2.node JOIN o1 ON g.src = o1.node GROUP BY l2.node)
+SELECT 'http://shop.example/' || node AS url, depth, 'about ' || node AS text FROM c ORDER BY depth, parent, node LIMIT 80"""
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of suppliers and parts as pages that link to each other."""
+    edges = corpora.supplier_part_edges(spark, sf_dir)
+    links = edges.groupBy("src").agg(F.array_join(F.transform(F.collect_list("dst"), lambda d: F.concat(F.lit('<a href="/'), d, F.lit('">x</a>'))), "").alias("links"))  # of one node
+    return links.select(F.concat(F.lit("http://shop.example/"), F.col("src")).alias("url"), F.concat(F.lit("<p>about "), F.col("src"), F.lit("</p><i hidden>"), F.regexp_replace("links", ">x<", "><"), F.lit("</i>")).alias("html"))
+
+
+@query("crawl_site", CRAWL_SQL)
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.crawl(shop_pages(spark, sf_dir), "http://shop.example/s1", 2, 80).pages.select("url", "depth", "text")
+
+
+@query("crawl_again", f"WITH {LEVEL_SQL} SELECT 'http://shop.example/' || node AS url, 1 AS depth FROM l1 WHERE CAST(substr(node, 2) AS INTEGER) % 2 = 1 UNION ALL SELECT 'http://shop.example/s1', 0")
+def crawl_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl that skips what was visited within the last hour, and not what was before."""
+    pages = tables.cut(shop_pages(spark, sf_dir))
+    number = F.regexp_extract("url", r"(\d+)$", 1).cast("int")
+    seen = pages.where(F.contains("url", F.lit("/p"))).select(U.url_hash(F.col("url")).alias("url_hash"), F.when(number % 2 == 0, 2000.0).otherwise(1000.0).alias("expiry"))
+    return crawl.crawl(pages, "http://shop.example/s1", 1, 10_000, visited=seen, now=1000.0).pages.select("url", "depth")
+
+
+@query("crawl_clamps", "SELECT user_id, greatest(user_id - 10, 0) AS max_depth, greatest(CAST(user_id AS DOUBLE) / 100, 0.1) AS hit_rate, greatest(user_id - 5, 1) AS max_urls FROM (SELECT DISTINCT user_id FROM events)")
+def crawl_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    rows = corpora.table(spark, sf_dir, "events").select(u).distinct()
+    return rows.select(u, crawl.clamped(u - 10, "max_depth").alias("max_depth"), crawl.clamped(u / 100, "hit_rate").alias("hit_rate"), crawl.clamped(u - 5, "max_urls").alias("max_urls"))
+
+
+# --- jobs and service --------------------------------------------------------------------------------------------------
+
+
+@query("job_control", "WITH c AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'pause' WHEN 'view' THEN 'resume' WHEN 'error' THEN 'stop' END AS action FROM events WHERE event_type IN ('click', 'view') OR event_type = 'error' AND user_id % 4 = 0), j AS (SELECT DISTINCT user_id AS job_id FROM events), f AS (SELECT j.job_id, coalesce(arg_max(action = 'pause', seq) FILTER (action <> 'stop'), false) AS paused, coalesce(bool_or(action = 'stop'), false) AS stopping FROM j LEFT JOIN c ON j.job_id = c.job_id GROUP BY j.job_id) SELECT job_id, paused, stopping, CASE WHEN job_id % 7 = 0 THEN 'idle' WHEN job_id % 3 = 0 AND stopping THEN 'stopped' WHEN job_id % 3 = 0 THEN 'completed' WHEN paused AND NOT stopping THEN 'paused' ELSE 'running' END AS status FROM f")
+def job_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, u = corpora.table(spark, sf_dir, "events"), F.col("job_id")
+    rows = e.select(F.col("user_id").alias("job_id")).distinct().select(u, F.when(u % 7 != 0, 1.0).alias("started_at"), F.when(u % 3 == 0, 2.0).alias("ended_at"))
+    kind = F.col("event_type")
+    told = e.where(kind.isin("click", "view") | (kind == "error") & (F.col("user_id") % 4 == 0)).select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), F.when(kind == "click", "pause").when(kind == "view", "resume").otherwise("stop").alias("action"))
+    return state.controlled(rows, told)[0].select("job_id", "paused", "stopping", "status")
+
+
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"))
+    return state.history(rows, 500)
+
+
+HISTORY_SQL = "h AS (SELECT CAST(user_id AS VARCHAR) AS job_id, min(event_id) AS place, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id)"
+
+
+@query("history_page", f"WITH {HISTORY_SQL} SELECT place, job_id, status, (SELECT count(*) FROM h) AS count FROM h ORDER BY place DESC LIMIT 7")
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, count = state.history_page(job_history(spark, sf_dir), 7)
+    return rows.join(F.broadcast(count))
+
+
+@query("job_archive_deleted", "WITH a AS (SELECT CAST(user_id AS VARCHAR) AS job_id, min(event_id) AS place, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id) SELECT CASE WHEN CAST(job_id AS INTEGER) % 2 = 0 THEN 'deleted' ELSE status END AS status, count(*) AS n FROM a GROUP BY 1")
+def job_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
+    gone = rows.select("job_id").distinct().where("job_id % 2 = 0").withColumn("status", F.lit("stopped"))
+    return state.history(state.archived(rows, gone, "deleted"), 10_000).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jobs_recent", f"WITH {JOBS_SQL}, a AS (SELECT job_id, started_at, true AS is_active FROM jobs WHERE ended_at IS NULL UNION ALL SELECT job_id, started_at, false FROM jobs WHERE job_id % 3 <> 0), b AS (SELECT job_id, max(started_at) AS started_at, bool_or(is_active) AS is_active FROM a GROUP BY job_id) SELECT job_id, started_at, is_active FROM b ORDER BY started_at DESC, job_id LIMIT 5")
+def jobs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = jobs(spark, sf_dir).select("job_id", "started_at", "ended_at")
+    return state.recent(j.where("ended_at is null").drop("ended_at"), j.where("job_id % 3 <> 0").drop("ended_at")).select("job_id", "started_at", "is_active")
+
+
+@query("uptime_ticking", f"WITH {JOBS_SQL} SELECT job_id, CAST(crawled + CASE WHEN ended_at IS NULL THEN 2.5 ELSE 0 END AS DOUBLE) AS shown FROM jobs")
+def uptime_ticking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).select("job_id", state.ticking(F.col("crawled").cast("double"), F.lit(10.0), F.lit(12.5), F.col("ended_at").isNull()).alias("shown"))
+
+
+@query("service_metrics", f"WITH {URL_CTE}, {JOBS_SQL}, {CONV_CTE}, {POST_CTE}, w AS (SELECT DISTINCT word FROM post) SELECT CAST(sum(crawled) AS BIGINT) AS total_crawled, CAST(sum(errors) AS BIGINT) AS total_errors, CAST(sum(pending) AS BIGINT) AS pending_total, CAST(sum(dropped) AS BIGINT) AS dropped_total, count(*) FILTER (ended_at IS NULL) AS active_jobs, count(*) FILTER (paused) AS paused_jobs, count(*) AS total_jobs, count(*) FILTER (job_id % 3 <> 0) AS history_count, (SELECT count(DISTINCT url) FROM u) AS visited_urls, (SELECT count(*) FROM u) AS indexed_pages, (SELECT count(*) FROM w) AS words, (SELECT count(DISTINCT substr(word, 1, k)) + 1 FROM (SELECT word, unnest(range(1, len(word) + 1)) AS k FROM w)) AS nodes FROM jobs")
+def service_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j, pages = jobs(spark, sf_dir), corpora.page_rows(spark, sf_dir)
+    return state.global_metrics(j, j.where("job_id % 3 <> 0"), pages.select(U.url_hash(F.col("url")).alias("url_hash")).distinct(), pages, stored(spark, sf_dir, "conversations"))
+
+
+@query("delete_job_cascade", f"WITH {DOCS_CTE}, {POST_CTE}, w AS (SELECT word, count(*) FILTER (origin_url = 'doc://src1') AS gone, bool_and(origin_url = 'doc://src1') AS dead FROM post GROUP BY word) SELECT CAST(sum(gone) AS BIGINT) AS postings_removed, count(*) FILTER (dead) AS words_unindexed, (SELECT count(*) FROM corpus WHERE origin_url = 'doc://src1') AS metadata_removed, (SELECT count(DISTINCT url) FROM corpus WHERE origin_url = 'doc://src1') AS visited_removed, (SELECT count(*) FROM post WHERE origin_url <> 'doc://src1') AS postings_left, CAST(1 AS BIGINT) AS jobs_left, 'deleted' AS archived, true AS known FROM w")
+def delete_job_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.documents(spark, sf_dir).select("url", F.col("origin_url").alias("origin"))
+    rows = spark.createDataFrame([("j1", "doc://src1", "running"), ("j2", "doc://src2", "running")], "job_id string, seed_url string, status string")
+    past = spark.createDataFrame([(4, "j2", "completed")], "seq int, job_id string, status string")
+    logs = spark.createDataFrame([("j1", 1)], "job_id string, seq int")
+    visited = docs.select(U.url_hash(F.col("url")).alias("url_hash")).distinct()
+    left = state.delete_job("j1", rows, past, logs, stored(spark, sf_dir, "documents"), docs, visited)
+    label = left["archives"].where("job_id = 'j1'").first()["status"]
+    one = left["removed"].join(left["index"].agg(F.count(F.lit(1)).alias("postings_left"))).join(left["jobs"].agg(F.count(F.lit(1)).alias("jobs_left")))
+    return one.select("*", F.lit(label).alias("archived"), F.lit(left["known"]).alias("known"))
+
+
+@query("search_answer", f"WITH {CONV_CTE}, {POST_CTE}, {sql_hits(['la', 'de'])}, best AS ({RANKED} LIMIT 5) SELECT 'la de' AS query, CAST(5 AS BIGINT) AS \"limit\", (SELECT count(*) FROM best) AS count, (SELECT count(*) FROM hits) AS total, true AS timed UNION ALL SELECT '', 5, 0, 0, false")
+def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = spark.createDataFrame([], "url string, title string, snippet string")
+    replies = [search.answer(stored(spark, sf_dir, "conversations"), meta, q, 5, 0) for q in ("  La, de ", "  ")]
+    rows = [(r["query"].lower().replace(",", ""), r["limit"], r["count"], r["total"], "elapsed_ms" in r) for r in replies]
+    return spark.createDataFrame(rows, "query string, limit long, count long, total long, timed boolean")
+
+
+BOUNDS = ((0, 0, True), (100, 100_000, True), (101, 0, False), (-1, 0, False), (10, 100_001, False), (10, -1, False))
+
+
+@query("search_bounds", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {str(ok).lower()})" for a, b, ok in BOUNDS) + ") AS t(\"limit\", \"offset\", ok)")
+def search_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post, meta = spark.createDataFrame([], index.SCHEMA), spark.createDataFrame([], "url string, title string, snippet string")
+
+    def accepted(limit: int, offset: int) -> bool:
+        try:
+            search.search(post, meta, "x", limit, offset)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(a, b, accepted(a, b)) for a, b, _ in BOUNDS], "limit int, offset int, ok boolean")
+
+
+TONES = (("Critical (Queue Full)", "critical"), ("Back-pressure Active", "warn"), ("paused", "warn"), ("running", "ok"), ("Healthy", "ok"), ("stopped", "idle"), ("", "idle"))
+
+
+@query("status_tones", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TONES) + ") AS t(label, tone)")
+def status_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(a,) for a, _ in TONES], "label string").select("label", state.status_tone(F.col("label")).alias("tone"))
+
+
+@query("durations", "SELECT s, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') ELSE lpad(CAST(s // 60 AS VARCHAR), 2, '0') END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS shown FROM (SELECT DISTINCT user_id * 97 AS s FROM events)")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "events").select((F.col("user_id") * 97).alias("s")).distinct()
+    return rows.select("s", X.duration(F.col("s")).alias("shown"))
+
+
+LIFE = (("created", "running"), ("paused", "paused"), ("resumed", "running"), ("stopping", "running"), ("finished", "stopped"), ("found", "1"), ("exported", "true"), ("again", "false"), ("booted", "1 stopped"), ("deleted", "true 2"), ("left", "0"), ("reset", "0 0 0"), ("bad seed", "refused"))
+
+
+@query("engine_life", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LIFE) + ") AS t(step, outcome)")
+def engine_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine from a first job through a restart to a reset."""
+    folder = tables.new_path(spark)
+    e, out = Engine(spark, folder), []
+    job = e.create_job("HTTPS://Example.com", 10.0, max_depth=1)
+    out.append(("created", e.get("jobs").first()["status"]))
+    out += [(name, e.control(job, action)) for name, action in (("paused", "pause"), ("resumed", "resume"), ("stopping", "stop"))]
+    e.add(spark.createDataFrame([("https://example.com/", "word and word", "https://example.com/", 0)], "url string, text string, origin_url string, depth int"))
+    e.put("metadata", spark.createDataFrame([("https://example.com/", "T", "S", 0, "https://example.com/", 1.0)], "url string, title string, snippet string, depth int, origin string, ts double"))
+    e.finish(job, 20.0)
+    out += [("finished", e.get("job_history").first()["status"]), ("found", str(e.answer("Word")["total"])), ("exported", str(e.shutdown()).lower()), ("again", str(e.shutdown()).lower())]
+    e = Engine(spark, folder)
+    e.boot()
+    out.append(("booted", f"{e.answer('word')['total']} {e.get('job_history').first()['status']}"))
+    known, counts = e.delete(job)
+    out += [("deleted", f"{str(known).lower()} {counts['postings_removed']}"), ("left", str(e.answer("word")["total"]))]
+    e.reset()
+    out.append(("reset", f"{e.index().count()} {e.get('jobs').count()} {len(tables.children(spark, folder + '/shards'))}"))
+    try:
+        e.create_job("http://localhost/", 0.0)
+    except ValueError:
+        out.append(("bad seed", "refused"))
+    return spark.createDataFrame(out, "step string, outcome string")
+
+
+# --- keyed streams -----------------------------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a query over a bounded source gives, as a table."""
+    spark = stream.sparkSession
+    path = tables.new_path(spark)
+    write = lambda batch, n: tables.write(batch, f"{path}/out/batch={n}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("stream_ttl", ORACLE_SQL["ttl_dedup"])
+def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = corpora.table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    visits = rows.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("visit"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    got = _drained(ingest.ttl_stream(visits, "visit", "at"), "append")
+    return got.groupBy("visit").agg(F.count(F.lit(1)).alias("accepted"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query("stream_queue", "WITH p AS (SELECT user_id AS job_id, event_id, event_type FROM events), n AS (SELECT job_id, count(DISTINCT event_id % 20) FILTER (event_type <> 'error') AS seen FROM p GROUP BY job_id) SELECT job_id, least(seen, 6) AS pending, CAST(6 AS BIGINT) AS capacity, seen AS enqueued, CAST(0 AS BIGINT) AS popped, seen - least(seen, 6) AS dropped, CASE WHEN seen >= 6 THEN 'Critical (Queue Full)' WHEN seen >= 4.8 THEN 'Back-pressure Active' ELSE 'Healthy' END AS status, seen FROM n")
+def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded queue for each user, urls that repeat, and pushes that are refused."""
+    schema = corpora.table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    ops = rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.lit("push").alias("op"), F.concat(F.lit("u"), (F.col("event_id") % 20).cast("string")).alias("url"), F.when(F.col("event_type") == "error", -1).otherwise(0).alias("depth"))
+    return _drained(ingest.queue_stream(ops, 6), "update").select("job_id", "pending", "capacity", "enqueued", "popped", "dropped", "status", "seen")
