@@ -334,6 +334,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
     off a forest or in short texts, meets once more, at the rare shingles that two such texts always share (see prefix_cells), where all near pairs of
     a small cell and a forest of a large one are checked.
     """
+    found, _, more = _two_passes(docs, words, similarity, tables, id_col, text_col)
+    return found.unionByName(more).distinct()
+
+
+def _two_passes(docs: DataFrame, words: int, similarity: float, tables: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the first pass of similar(), their components (node, root), and links between these components, as cut tables."""
     small_batches(docs.sparkSession)
     text = named(text_col).cast("string")
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
@@ -487,7 +493,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
         of = roots.select(F.col("node").alias("n"), F.col("root").alias(f"root_{end}"))
         rest = rest.join(of, F.col(end) == F.col("n"), "left").drop("n")
     rest = cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few=True)
-    return found.unionByName(verified(rest)).distinct()
+    return found, roots, cut(verified(rest), few=True)
 
 
 #: Cells of rare shingles with so many rows at most give all their near pairs, others a forest: in proportion to the rows either way.
@@ -577,8 +583,15 @@ def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words:
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group that similar() joins only those of the smallest id. Rows that repeat an id stay or go together; rows with a null id stay."""
-    found = cut(similar(docs, words, similarity, id_col=id_col, text_col=text_col))
-    gone = cut(components(found).where("node <> root").select(F.col("node").alias("__webloom_gone")).distinct(), few=True)
+    _, roots, more = _two_passes(docs, words, similarity, TABLES, id_col, text_col)
+    # links of the second pass join components, which stand for all their nodes
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias("n"), F.col("root").alias("of"))
+        more = more.join(of, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("of", end)).drop("n", "of")
+    joined = cut(components(more.distinct()).distinct(), few=True).withColumnsRenamed({"node": "n", "root": "r"})
+    known = roots.join(joined, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    alone = joined.join(roots.select("node"), F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("r").alias("root"))
+    gone = cut(known.unionByName(alone).where("node <> root").select(F.col("node").alias("__webloom_gone")).distinct(), few=True)
     key = named(id_col).cast("long")
     unsure = maybe_in(docs, key, gone).join(gone, key == F.col("__webloom_gone"), "left_anti")
     return maybe_in(docs, key, gone, "left_anti").unionByName(unsure)
