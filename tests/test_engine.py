@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import catalog
 from webloom.operators import crawl, index, search, state
 from webloom.sources import flatfile
 from webloom.streaming import ingest
@@ -193,6 +194,13 @@ def test_history_keeps_the_first_place(spark):
     assert rows(state.history(a, 2)) == [(2, "y", "done"), (4, "z", "done")]
 
 
+def test_history_page_counts_every_job(spark, tmp_path):
+    path = f"{tmp_path}/events.parquet"
+    spark.range(1200).selectExpr("id as event_id", "id % 600 as user_id", "if(id < 600, 'view', 'click') as event_type").write.parquet(path)
+    got = catalog.QUERIES["history_page"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, str(i), "click", 600) for i in range(593, 600)]
+
+
 def test_delete_job(spark):
     jobs = spark.createDataFrame([("j1", "http://d/", "running"), ("j2", "http://k/", "running")], "job_id string, seed_url string, status string")
     archives = spark.createDataFrame([(1, "j2", "completed")], "seq int, job_id string, status string")

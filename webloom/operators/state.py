@@ -19,11 +19,13 @@ def job_logs(logs: DataFrame, size: int = LOG_ROWS) -> DataFrame:
     return ring(logs, "job_id", ["ts", "seq"], size)
 
 
-def history(archives: DataFrame, size: int = HISTORY_ROWS) -> DataFrame:
-    """archives(seq, job_id, ...): an entry keeps the place of the job's first and has the values of its last; the newest places stay. place, then the last row's columns."""
+def history(archives: DataFrame, size: int | None = HISTORY_ROWS) -> DataFrame:
+    """archives(seq, job_id, ...): an entry keeps the place of the job's first and has the values of its last; the newest places stay, or all where size is None. place, then the last row's columns."""
     rest = [c for c in archives.columns if c not in ("seq", "job_id")]
     rows = archives.groupBy("job_id").agg(F.min("seq").alias("place"), F.max_by(F.struct(*rest), "seq").alias("last"))
-    return rows.orderBy(F.col("place").desc()).limit(size).select("place", "job_id", "last.*")
+    if size is not None:
+        rows = rows.orderBy(F.col("place").desc()).limit(size)
+    return rows.select("place", "job_id", "last.*")
 
 
 def history_page(past: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
