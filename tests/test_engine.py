@@ -183,6 +183,28 @@ def test_crawl_order_budget_and_capacity(spark):
             crawl.checked(bad)
 
 
+def test_crawl_asks_only_for_the_pages_it_comes_to(spark):
+    web = {"http://h/": ["a", "b"], "http://h/a": ["b", "c", "gone"], "http://h/b": [], "http://h/c": ["d"], "http://h/d": [], "http://h/far": ["/"]}
+    pages = spark.createDataFrame([(u, "".join(f'<a href="{x}">x</a>' for x in to)) for u, to in web.items()], "url string, html string")
+    asked = []
+
+    def fetch(urls):
+        asked.append(sorted(r["url"] for r in urls.collect()))
+        return crawl.fetched(pages, urls)
+
+    got = crawl.crawl(fetch, "http://h/", 2)
+    assert asked == [["http://h/"], ["http://h/a", "http://h/b"], ["http://h/c", "http://h/gone"]]
+    whole = crawl.crawl(pages, "http://h/", 2)
+    assert rows(got.pages) == rows(whole.pages) and got.pages.count() == 4
+    assert got.counts == whole.counts == {"crawled": 4, "skipped": 0, "failed": 1, "dropped": 0}
+
+
+def test_crawl_again_has_no_capacity(spark, tmp_path):
+    spark.range(10_500).selectExpr("1L as l_suppkey", "id as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["crawl_again"](spark, str(tmp_path))
+    assert rows(got.groupBy("depth").count()) == [(0, 1), (1, 5250)]
+
+
 def test_links_of_pages_with_one_url_come_once(spark, tmp_path):
     html = '<a href="/a">x</a><a href="/b">y</a>'
     spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", html + '<a href="/c">z</a>'), (3, "http://k/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

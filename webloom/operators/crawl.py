@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,18 +150,21 @@ class Crawl:
     counts: dict[str, int]
 
 
-def crawl(pages: DataFrame, seed: str, max_depth: int = 3, max_urls: int = 1000, capacity: int = CAPACITY, visited: DataFrame | None = None, now: float = 0.0, ttl: int = TTL_SECONDS) -> Crawl:
-    """A breadth-first crawl of the pages(url, html) that are stored, from a seed over their links.
+def crawl(pages: DataFrame | Callable[[DataFrame], DataFrame], seed: str, max_depth: int = 3, max_urls: int = 1000, capacity: int = CAPACITY, visited: DataFrame | None = None, now: float = 0.0, ttl: int = TTL_SECONDS) -> Crawl:
+    """A breadth-first crawl of the pages(url, html) that are stored, from a seed over their links. pages is a table, or a function that gives the pages stored for a table of canonical urls(url), where a whole table is dear to make.
 
     Level by level, in the order of the first parent and then the url: live visits (of visited(url_hash, expiry), at `now`) are skipped, urls that are not stored fail,
     and only pages that are read count for max_urls. Of a level that is longer than the capacity the oldest entries go. What was seen once never enters again.
+    Only pages that are read are parsed.
     """
     checked({"max_depth": max_depth, "max_urls": max_urls, "max_capacity": capacity})
-    spark: SparkSession = pages.sparkSession
+    spark: SparkSession = pages.sparkSession if isinstance(pages, DataFrame) else SparkSession.active()
     origin = normalize_url(F.lit(seed))
-    stored = cut(H.parsed(pages.select(normalize_url(F.col("url")).alias("url"), "html").where("url is not null").dropDuplicates(["url"])).drop("html"))
-    edges = cut(children(stored.select(F.col("url").alias("src"), F.explode("links").alias("url"))))
-    have = stored.select(F.col("url").alias("__url"))
+    if isinstance(pages, DataFrame):
+        stored = cut(pages.select(normalize_url(F.col("url")).alias("url"), "html").where("url is not null"))
+        fetch = lambda urls: fetched(stored, urls)
+    else:
+        fetch = pages
     level = cut(spark.range(1).where(is_valid_url(F.lit(seed))).select(origin.alias("url"), F.lit(0).cast("long").alias("place")))
     seen, taken, counts = level.select("url"), None, {"crawled": 0, "skipped": 0, "failed": 0, "dropped": 0}
     for depth in range(max_depth + 1):
@@ -170,26 +173,27 @@ def crawl(pages: DataFrame, seed: str, max_depth: int = 3, max_urls: int = 1000,
             break
         if n > capacity:
             level, n, counts["dropped"] = cut(level.orderBy(F.col("place").desc()).limit(capacity)), capacity, counts["dropped"] + n - capacity
-        fresh = level if visited is None else unvisited(level, visited, F.lit(now))
+        fresh = level if visited is None else cut(unvisited(level, visited, F.lit(now)))
         n_fresh = n if visited is None else fresh.count()
         counts["skipped"] += n - n_fresh
-        read = cut(fresh.join(have, F.col("url") == F.col("__url"), "left_semi").withColumn("depth", F.lit(depth)))
+        got = fetch(fresh.select("url")).select(F.col("url").alias("__url"), "html").dropDuplicates(["__url"])
+        read = cut(fresh.join(got, F.col("url") == F.col("__url")).drop("__url").withColumn("depth", F.lit(depth)))
         n_read, left = read.count(), max_urls - counts["crawled"]
         counts["failed"] += n_fresh - n_read
         if n_read > left:
             read, n_read, counts["dropped"] = cut(read.orderBy("place").limit(left)), left, counts["dropped"] + n_read - left
         counts["crawled"] += n_read
+        read = cut(H.parsed(read).drop("html"))
         taken = read if taken is None else taken.unionByName(read)
         if depth == max_depth or counts["crawled"] >= max_urls:
             break
-        found = read.join(edges, read["url"] == edges["src"]).groupBy(edges["url"].alias("url")).agg(F.min("place").alias("parent"))
+        found = children(read.select(F.col("place").alias("parent"), F.explode("links").alias("url"))).groupBy("url").agg(F.min("parent").alias("parent"))
         found = found.join(seen.select(F.col("url").alias("__old")), F.col("url") == F.col("__old"), "left_anti")
         level = cut(numbered(found, [F.col("parent"), F.col("url")], "place").select("url", "place"))
         seen = seen.unionByName(level.select("url"))
     if taken is None:
-        taken = level.limit(0).withColumn("depth", F.lit(0))
-    rows = taken.join(stored.withColumnRenamed("url", "__url"), F.col("url") == F.col("__url"))
-    rows = rows.select("url", "depth", "place", origin.alias("origin_url"), "title", "text", "snippet")
+        taken = H.parsed(level.limit(0).withColumns({"depth": F.lit(0), "html": F.lit("")}))
+    rows = taken.select("url", "depth", "place", origin.alias("origin_url"), "title", "text", "snippet")
     return Crawl(rows, taken.select(url_hash(F.col("url")).alias("url_hash"), F.lit(now + ttl).alias("expiry")), counts)
 
 

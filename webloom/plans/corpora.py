@@ -46,7 +46,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("at", seconds)
 
 
-def supplier_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of suppliers and parts that occur on one line, both ways."""
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    return lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def supplier_part_edges(spark: SparkSession, sf_dir: str, sources: DataFrame | None = None) -> DataFrame:
+    """A graph of suppliers and parts that occur on one line, both ways; with sources(node), its edges from these."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    if sources is None:
+        lines = lines.distinct()
+        return lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.join(sources, F.col("src") == F.col("node"), "left_semi").distinct()
