@@ -931,3 +931,9 @@ def test_quality(spark):
     assert quality.classify(empty(spark), labels).count() == 0
     none = quality.classify(docs, labels.limit(0)).collect()
     assert {round(r.score, 6) for r in none} == {0.5}
+
+
+def test_near_groups_sends_no_table_through_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some more of text {i % 7}") for i in range(200)], "doc_id long, text string")
+    plan = simhash.near_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan

@@ -185,7 +185,7 @@ def links(distinct: DataFrame, threshold: int = 2, rows_at_once: int = 2000) ->
     at_home = distinct.select("fp").mapInArrow(tidy(homes), "anchor long, a long")
     away = distinct.select("fp").mapInArrow(tidy(visits), "at long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return at_home.join(away, (F.col("anchor") == F.col("at")) & near).select("a", "b")
+    return at_home.join(away.hint("merge"), (F.col("anchor") == F.col("at")) & near).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -199,10 +199,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b")
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("m").alias("a"), "b")
         # every node with its smaller neighbours: all of them and the node itself go to the smallest
         low = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n")
-        small = large.join(low, F.col("b") == F.col("n")).select(F.col("m"), "a", "b")
+        small = large.join(low.hint("merge"), F.col("b") == F.col("n")).select(F.col("m"), "a", "b")
         now = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).where("a <> b").distinct().checkpoint()
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == state:
@@ -219,10 +219,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), few=True)
     found = cut(links(distinct, threshold))
     roots = components(found)
-    of_root = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # sides that grow with the input are merged: a broadcast, even of what is small when packed, would pass through the driver
+    of_root = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    to = of_root.join(ids, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(to, rows["fp"] == to["f"]).select("doc_id", "fp", "component_id")
+    to = of_root.join(ids.hint("merge"), "root").select(F.col("fp").alias("f"), "component_id")
+    return rows.join(to.hint("merge"), rows["fp"] == to["f"]).select("doc_id", "fp", "component_id")
 
 
 #: Multipliers that draw further hashes from one, by an avalanche (fixed odd numbers).
