@@ -937,3 +937,27 @@ def test_near_groups_sends_no_table_through_the_driver(spark):
     docs = spark.createDataFrame([(i, f"word{i} and some more of text {i % 7}") for i in range(200)], "doc_id long, text string")
     plan = simhash.near_groups(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_second_pass_checks_all_pairs_of_a_large_cell(spark):
+    for seed in (15, 30):
+        rng = np.random.default_rng(seed)
+        texts = []
+        for _ in range(200):
+            words = [f"w{k}" for k in range(100)]
+            for k in rng.choice(100, 3, replace=False):
+                words[k] = f"x{rng.integers(3)}_{k}"
+            texts.append(" ".join(words))
+        sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+        want = {(i, j) for i in range(200) for j in range(i + 1, 200) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+        def least(edges):
+            root = list(range(200))
+            for _ in range(200):
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {tuple(r) for r in simhash.similar(docs, 5, 0.8, tables=1).collect()}
+        assert got <= want and least(got) == least(want)

@@ -332,8 +332,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: in
     checked on the shingles themselves. An anchor with over CELL_ROWS rows is taken in blocks (see cell_links), in an order that
     differs from table to table, and a hot one is dealt to many tasks, whose leaders are compared in a second round. Ids are whole numbers; null ids are never linked. A pair at 0.8 exactly meets
     in 96 tables with a probability of 0.92, at 0.85 of 0.98, at 0.9 of 0.999. What this leaves unjoined, in hot cells, between blocks,
-    off a forest or in short texts, meets once more, at the rare shingles that two such texts always share (see prefix_cells), where all near pairs of
-    a small cell and a forest of a large one are checked.
+    off a forest or in short texts, meets once more, at the rare shingles that two such texts always share (see prefix_cells), where all near pairs
+    of different components are checked, whatever the size of a cell (see cross_pairs).
     """
     found, _, more = _two_passes(docs, words, similarity, tables, id_col, text_col)
     return found.unionByName(more).distinct()
@@ -489,16 +489,12 @@ def _two_passes(docs: DataFrame, words: int, similarity: float, tables: int, id_
     found = cut(verified(near), few=True)
     roots = cut(components(found).distinct(), few=True)
     # a wider cut than before, as nothing else is to be found here: that of sets of 4 and 5, the smallest that are similar but not equal
-    rest = linked(prefix_cells(rows, roots, sketches, words, similarity), int(bits * 3 / 16 + 6 * np.sqrt(bits * 3 / 16 * 13 / 16)), FEW_ROWS)
-    for end in ("a", "b"):
-        of = roots.select(F.col("node").alias("n"), F.col("root").alias(f"root_{end}"))
-        rest = rest.join(of, F.col(end) == F.col("n"), "left").drop("n")
-    rest = cut(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few=True)
+    rest = cut(cross_pairs(prefix_cells(rows, roots, sketches, words, similarity), int(bits * 3 / 16 + 6 * np.sqrt(bits * 3 / 16 * 13 / 16)), similarity).distinct(), few=True)
     return found, roots, cut(verified(rest), few=True)
 
 
-#: Cells of rare shingles with so many rows at most give all their near pairs, others a forest: in proportion to the rows either way.
-FEW_ROWS = 16
+#: A cell of a rare shingle with more rows is cut into parts of about so many, each pair of which is a cell of its own.
+PART_ROWS = 4000
 #: Ids with over 1 / HOT_IDS of all pairs, and over PAIRS_AT_ONCE, are compared in several tasks.
 HOT_IDS, PAIRS_AT_ONCE = 500, 1000
 #: A shingle on so many of about PREFIX_SAMPLE texts is common: common shingles come last in the order that prefixes are taken in, the commonest at the end.
@@ -514,12 +510,12 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
 
 
 def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
-    """cell, doc_id and the sketch of each text of rows(doc_id, th, text) at its first shingles, where these stand in texts of different components (roots: node, root).
+    """The sketch of each text of rows(doc_id, th, text) at its first shingles, where these stand in texts of different components (roots: node, root): shingle, p, q, part, doc_id, root, n (the set's size), at (the shingle's place in it) and the sketch.
 
     Two sets with a Jaccard similarity of t have more in common than what either has behind its first n - ceil(t n) + 1 shingles,
     in any order that holds for all sets; so they share one of these, and meet in its cell. Rare shingles come first, so cells are small:
-    what many texts share brings together only texts of hardly anything else. No cell is capped, and rows of a cell are not multiplied
-    with each other: they are compared by their sketches like those of an anchor, and the cell of a shingle that is hot even so is dealt out like a hot anchor.
+    what many texts share brings together only texts of hardly anything else. No cell is capped: one with over PART_ROWS rows is cut into parts, and a row goes
+    to a cell (p, q) for each part that its own may be paired with.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -540,14 +536,14 @@ def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words:
     by = np.argsort(common)
     common, counts = common[by], counts[by]
 
-    n_sample = sample.count()
-    hot = common[counts > max(50, int(HOT_SHARE * n_sample))]
-
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, some in sets(batches):
             first = [prefix(h, similarity, common, counts) for h in some]
-            again = pa.array(np.repeat(np.arange(len(some)), [len(x) for x in first]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), b.column(0).take(again), b.column(1).take(again)], ["shingle", "doc_id", "th"])
+            sizes = [len(x) for x in first]
+            again = pa.array(np.repeat(np.arange(len(some)), sizes))
+            n = np.repeat(np.array([len(h) for h in some], np.int64), sizes)
+            at = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), b.column(0).take(again), b.column(1).take(again), pa.array(n), pa.array(at)], ["shingle", "doc_id", "th", "n", "at"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of shingles those whose shingle another row has too. The last row waits for the next batch."""
@@ -565,23 +561,80 @@ def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words:
         if held is not None and before:
             yield held
 
-    schema = "shingle long, doc_id long, th long"
+    schema = "shingle long, doc_id long, th long, n long, at long"
     firsts = rows.mapInArrow(tidy(prefixes), schema).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(shared), schema)
     firsts = cut(firsts.distinct())
-    known = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "th", F.coalesce("root", "doc_id").alias("root"))
-    split = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("shingle").alias("k"))
-    known = known.drop("root").join(split, F.col("shingle") == F.col("k"), "left_semi")
+    known = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "th", "n", "at", F.coalesce("root", "doc_id").alias("root"))
+    split = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows")).where("r0 <> r1")
+    split = split.select(F.col("shingle").alias("k"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts"))
+    known = known.join(split, F.col("shingle") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.col("parts")).cast("int"))
     bits = sketches.dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    # a cell has the last bits of a shingle, and above them the part that a row of a hot one is dealt to
-    cell = F.col("shingle").bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1))
-    if len(hot):
-        part = F.pmod(F.xxhash64("doc_id", "th", "shingle"), F.lit(SALTS)) + 1
-        cell = cell.bitwiseOR(F.when(F.col("shingle").isin(hot.view(np.int64).tolist()), F.shiftleft(part, ANCHOR_BITS)).otherwise(F.lit(0)))
-    out = cut(known.join(bits, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).withColumn("cell", cell).select("cell", "doc_id", *[c for c in sketches.columns if c not in ("doc_id", "th")]))
+    known = known.join(bits, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    known = known.withColumns({"p": F.least("part", "x"), "q": F.greatest("part", "x")})
+    out = cut(known.select("shingle", "p", "q", "part", "doc_id", "root", "n", "at", *[c for c in sketches.columns if c not in ("doc_id", "th")]))
     forget(firsts)
     return out
 
 
+def cross_pairs(cells: DataFrame, most: int, similarity: float, at_once: int = 64, pairs_at_once: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of the cells of prefix_cells() that may be similar, all of them: of different components, sketches at most `most` bits apart,
+    and enough shingles from the cell's on. That is exact: what two sets have in common begins at the first shingle they share, so at that cell the smaller rest of the two bounds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
+            ends = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+        def pairs(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            p, q, part, ids, root, n, at = (c[:, 1 + k] for k in range(7))
+            f, rest = c[:, 8:].view(np.uint64), n - at
+            apart = bool(p[0] != q[0])
+            for i in range(0, len(c), at_once):
+                x = slice(i, i + at_once)
+                may = root[x, None] != root[None, i:]
+                may &= np.minimum(rest[x, None], rest[None, i:]) >= similarity / (1 + similarity) * (n[x, None] + n[None, i:]) - 1e-6
+                if apart:
+                    may &= part[x, None] != part[None, i:]
+                a, b = np.nonzero(np.triu(may, 1))
+                if not len(a):
+                    continue
+                near = np.bitwise_count(f[i + a] ^ f[i + b]).sum(axis=1, dtype=np.int64) <= most
+                if near.any():
+                    found.append(np.stack([ids[i + a[near]], ids[i + b[near]]], axis=1))
+                    size += len(found[-1])
+                if size >= pairs_at_once:
+                    yield out()
+
+        held: list[np.ndarray] = []  # rows of the last cell, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for x in b.columns], axis=1)
+            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            runs = np.split(rows, cuts)
+            if held and (held[-1][-1, :3] != rows[0, :3]).any():
+                yield from pairs(np.concatenate(held))
+                held = []
+            if len(runs) > 1:
+                for c in [np.concatenate([*held, runs[0]]), *runs[1:-1]]:
+                    if len(c) > 1:
+                        yield from pairs(c)
+                held = []
+            held.append(runs[-1].copy())
+        if held:
+            yield from pairs(np.concatenate(held))
+        yield out()
+
+    return cells.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(tidy(run), "a long, b long")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group that similar() joins only those of the smallest id. Rows that repeat an id stay or go together; rows with a null id stay."""
     _, roots, more = _two_passes(docs, words, similarity, TABLES, id_col, text_col)
