@@ -961,3 +961,48 @@ def test_second_pass_checks_all_pairs_of_a_large_cell(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         got = {tuple(r) for r in simhash.similar(docs, 5, 0.8, tables=1).collect()}
         assert got <= want and least(got) == least(want)
+
+
+def test_parities_never_tell_sets_further_apart_than_they_are():
+    rng = np.random.default_rng(8)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 2, 63, 64, 65, 300, 1000, 1025, 20_000):
+        base = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+        for share in (0.0, 0.1, 0.5):
+            sets.append(np.unique(np.concatenate([base[: n - int(share * n)], rng.integers(0, 1 << 63, int(share * n), np.int64).astype(np.uint64)])))
+    a, b = np.triu_indices(len(sets))
+    truly = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    least = simhash.Apart([simhash.parities(x) for x in sets])(a, b, 500)
+    assert (least <= truly).all() and (least[a == b] == 0).all()
+    near = (truly > 0) & (truly < 0.25 * np.array([min(len(sets[i]), len(sets[j])) for i, j in zip(a, b, strict=True)]))
+    assert near.sum() >= 6 and (least[near] > 0.5 * truly[near]).mean() > 0.7
+
+
+def test_second_pass_hands_on_hardly_more_than_links(spark, monkeypatch):
+    """Texts of one template that share shingles but are not similar are no rows of the second pass's result, nor is a pair that meets at many shingles as many."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(200):
+        words = [f"w{k}" for k in range(100)]
+        for k in rng.choice(100, 4, replace=False):
+            words[k] = f"x{rng.integers(4)}_{k}"
+        texts.append(" ".join(words))
+    texts += [f"{x} one two three four" for x in texts[:20]]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    n = len(texts)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    made, cross_pairs = [], simhash.cross_pairs
+
+    def counted(*args):
+        made.append(cross_pairs(*args).count())
+        return cross_pairs(*args)
+
+    monkeypatch.setattr(simhash, "cross_pairs", counted)
+    found, _, more = simhash._two_passes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8, 1, "doc_id", "text")
+    root = list(range(n))
+    edges = {tuple(r) for r in found.unionByName(more).collect()}
+    for _ in range(n):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert edges <= want and all(root[a] == root[b] for a, b in want) and len(want) >= 20
+    assert len(made) == 1 and made[0] <= 2 * n

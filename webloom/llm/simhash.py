@@ -233,9 +233,8 @@ SHORT = ((23, GOLAY, 3), (7, 0b1011, 1), (7, 0b1011, 1))
 TABLES = 96
 
 
-def sketch(text: str | None, words: int) -> list[int]:
-    """A SimHash of 256 bits, as four signed longs."""
-    h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+def sketch(h: np.ndarray) -> list[int]:
+    """A SimHash of 256 bits of a set of hashes, as four signed longs."""
     if not len(h):
         return [0] * len(MIXES)
     out = []
@@ -246,6 +245,38 @@ def sketch(text: str | None, words: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
+#: Bits of the widest parities; wider ones would only turn away more pairs.
+PARITY_BITS = 1 << 14
+
+
+def parities(h: np.ndarray) -> bytes:
+    """For each class of a set of hashes by their last bits, whether an odd number of them is in it: a power of two of classes, not fewer than hashes, up to PARITY_BITS."""
+    m = min(PARITY_BITS, max(64, 1 << (len(h) - 1).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+class Apart:
+    """A lower bound, for pairs of some sets given by their parities, of how many hashes only one of both has: a class whose parities differ holds one at least. Of two widths the wider is folded, class by class of the narrower."""
+
+    def __init__(self, of: list[bytes]) -> None:
+        self.of, self.width, self.folded = of, np.array([len(x) for x in of]), {}
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, bytes_at_once: int = 1 << 22) -> np.ndarray:
+        least, out = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), np.int64)
+        for w in np.unique(least).tolist():
+            if w not in self.folded:
+                rows = np.flatnonzero(self.width >= w)
+                place = np.zeros(len(self.of), np.int64)
+                place[rows] = np.arange(len(rows))
+                self.folded[w] = place, np.stack([np.bitwise_xor.reduce(np.frombuffer(self.of[i], np.uint64).reshape(-1, w // 8), axis=0) for i in rows.tolist()])
+            place, v = self.folded[w]
+            some = np.flatnonzero(least == w)
+            for i in range(0, len(some), max(1, bytes_at_once // w)):
+                k = some[i : i + max(1, bytes_at_once // w)]
+                out[k] = np.bitwise_count(v[place[a[k]]] ^ v[place[b[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def table_bits(tables: int) -> list[np.ndarray]:
     """Which of the 256 bits each table reads: a fixed random choice."""
     rng = np.random.default_rng(2026)
@@ -353,8 +384,10 @@ def _two_passes(docs: DataFrame, words: int, similarity: float, tables: int, id_
         for b in batches:
             text = pc.fill_null(b.column(2), "")
             for i, j in slices(text):
-                got = np.array([sketch(t, words) for t in text.slice(i, j - i).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(got[:, k]) for k in range(got.shape[1])]], ["doc_id", "th", *words_of])
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in text.slice(i, j - i).to_pylist()]
+                got = np.array([sketch(h) for h in sets], np.int64)
+                odd = pa.array([parities(h) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(got[:, k]) for k in range(got.shape[1])], odd], ["doc_id", "th", *words_of, "odd"])
 
     def replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -428,7 +461,7 @@ def _two_passes(docs: DataFrame, words: int, similarity: float, tables: int, id_
         yield out()
 
     bits_schema = "doc_id long, " + ", ".join(f"{x} long" for x in words_of)
-    sketches = cut(rows.mapInArrow(tidy(draw), bits_schema.replace("doc_id long", "doc_id long, th long")))
+    sketches = cut(rows.mapInArrow(tidy(draw), bits_schema.replace("doc_id long", "doc_id long, th long") + ", odd binary"))
 
     def spread(some: DataFrame, hot: np.ndarray) -> DataFrame:
         return some.select("doc_id", *words_of).mapInArrow(tidy(lambda batches: replicate(batches, hot)), "cell long, " + bits_schema)
@@ -510,11 +543,12 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
 
 
 def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The sketch of each text of rows(doc_id, th, text) at its first shingles, where these stand in texts of different components (roots: node, root): shingle, p, q, part, doc_id, root, n (the set's size), at (the shingle's place in it) and the sketch.
+    """The sketch of each text of rows(doc_id, th, text) at its first shingles, where these stand in texts of different components (roots: node, root): shingle, p, q, part, doc_id, root, n (the set's size), at (the shingle's place in it), the sketch and the parities.
 
     Two sets with a Jaccard similarity of t have more in common than what either has behind its first n - ceil(t n) + 1 shingles,
     in any order that holds for all sets; so they share one of these, and meet in its cell. Rare shingles come first, so cells are small:
-    what many texts share brings together only texts of hardly anything else. No cell is capped: one with over PART_ROWS rows is cut into parts, and a row goes
+    what many texts share brings together only texts of hardly anything else. Of shingles that exactly the same texts have in front only the first in that order
+    has a cell, as all pairs of the others meet there before. No cell is capped: one with over PART_ROWS rows is cut into parts, and a row goes
     to a cell (p, q) for each part that its own may be paired with.
     """
 
@@ -565,8 +599,10 @@ def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words:
     firsts = rows.mapInArrow(tidy(prefixes), schema).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(shared), schema)
     firsts = cut(firsts.distinct())
     known = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", "th", "n", "at", F.coalesce("root", "doc_id").alias("root"))
-    split = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows")).where("r0 <> r1")
-    split = split.select(F.col("shingle").alias("k"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts"))
+    members = [F.bit_xor(F.xxhash64(*c)).alias(m) for m, c in (("m0", ("doc_id", "th")), ("m1", ("th", "doc_id", F.lit("members"))))]
+    split = known.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"), *members).where("r0 <> r1")
+    split = split.groupBy("rows", "m0", "m1").agg(F.min_by("shingle", "first").alias("k"))  # a text has each shingle at another place, so the first is one
+    split = split.select("k", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts"))
     known = known.join(split, F.col("shingle") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.col("parts")).cast("int"))
     bits = sketches.dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "d", "th": "t"})
     known = known.join(bits, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -578,7 +614,8 @@ def prefix_cells(rows: DataFrame, roots: DataFrame, sketches: DataFrame, words:
 
 def cross_pairs(cells: DataFrame, most: int, similarity: float, at_once: int = 64, pairs_at_once: int = 50_000) -> DataFrame:
     """Pairs (a, b) of the cells of prefix_cells() that may be similar, all of them: of different components, sketches at most `most` bits apart,
-    and enough shingles from the cell's on. That is exact: what two sets have in common begins at the first shingle they share, so at that cell the smaller rest of the two bounds it."""
+    enough shingles from the cell's on, and parities that differ in no more classes than similar sets in shingles. Both last are exact: what two sets have in common
+    begins at the first shingle they share, so at that cell the smaller rest of the two bounds it; and see Apart. A pair that meets in several cells of a task comes once from each `pairs_at_once` pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -588,48 +625,56 @@ def cross_pairs(cells: DataFrame, most: int, similarity: float, at_once: int = 6
             nonlocal size
             size = 0
             ends = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            ends = np.unique(np.sort(ends, axis=1), axis=0)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
-        def pairs(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(c: np.ndarray, odd: list[bytes]) -> Iterator[pa.RecordBatch]:
             nonlocal size
             p, q, part, ids, root, n, at = (c[:, 1 + k] for k in range(7))
             f, rest = c[:, 8:].view(np.uint64), n - at
-            apart = bool(p[0] != q[0])
+            two_parts, apart = bool(p[0] != q[0]), Apart(odd)
             for i in range(0, len(c), at_once):
                 x = slice(i, i + at_once)
                 may = root[x, None] != root[None, i:]
                 may &= np.minimum(rest[x, None], rest[None, i:]) >= similarity / (1 + similarity) * (n[x, None] + n[None, i:]) - 1e-6
-                if apart:
+                if two_parts:
                     may &= part[x, None] != part[None, i:]
                 a, b = np.nonzero(np.triu(may, 1))
                 if not len(a):
                     continue
-                near = np.bitwise_count(f[i + a] ^ f[i + b]).sum(axis=1, dtype=np.int64) <= most
+                a, b = i + a, i + b
+                near = np.bitwise_count(f[a] ^ f[b]).sum(axis=1, dtype=np.int64) <= most
+                a, b = a[near], b[near]
+                near = apart(a, b) <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-6
                 if near.any():
-                    found.append(np.stack([ids[i + a[near]], ids[i + b[near]]], axis=1))
+                    found.append(np.stack([ids[a[near]], ids[b[near]]], axis=1))
                     size += len(found[-1])
                 if size >= pairs_at_once:
                     yield out()
 
-        held: list[np.ndarray] = []  # rows of the last cell, which may go on
+        held: list[tuple[np.ndarray, list[bytes]]] = []  # rows of the last cell, which may go on
+
+        def last() -> tuple[np.ndarray, list[bytes]]:
+            return np.concatenate([c for c, _ in held]), [x for _, odd in held for x in odd]
+
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for x in b.columns], axis=1)
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            runs = np.split(rows, cuts)
-            if held and (held[-1][-1, :3] != rows[0, :3]).any():
-                yield from pairs(np.concatenate(held))
-                held = []
-            if len(runs) > 1:
-                for c in [np.concatenate([*held, runs[0]]), *runs[1:-1]]:
-                    if len(c) > 1:
-                        yield from pairs(c)
+            rows = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for x in b.columns[:-1]], axis=1)
+            odd = b.columns[-1].to_pylist()
+            cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
+            if held and (held[-1][0][-1, :3] != rows[0, :3]).any():
+                yield from pairs(*last())
                 held = []
-            held.append(runs[-1].copy())
+            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                held.append((rows[i:j].copy(), odd[i:j]))
+                if k < len(cuts) - 2:  # the batch's last cell may go on
+                    if len(held) > 1 or j - i > 1:
+                        yield from pairs(*last())
+                    held = []
         if held:
-            yield from pairs(np.concatenate(held))
+            yield from pairs(*last())
         yield out()
 
     return cells.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(tidy(run), "a long, b long")
